@@ -1 +1 @@
-"""Part of corpusloom."""
+"""Operators: DataFrame in, DataFrame out."""

@@ -1 +1 @@
-"""Part of corpusloom."""
+"""Streams: incremental ingestion with the same operators."""
