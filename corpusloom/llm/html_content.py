@@ -159,7 +159,7 @@ def fit(pages: DataFrame, docs: DataFrame, train_pages: int = TRAIN_PAGES) -> cr
                 out.append(np.concatenate([y[:, None], features(found)], 1).tobytes() if found and y.any() else b"")
             yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(out, pa.binary())], ["page_id", "x"])
 
-    got = sample.join(F.broadcast(lines), "doc_id").select("page_id", "html", "text").mapInArrow(run, "page_id long, x binary").collect()
+    got = sample.join(lines, "doc_id").select("page_id", "html", "text").mapInArrow(run, "page_id long, x binary").collect()
     sequences = []
     for r in sorted(got, key=lambda r: (r.page_id, bytes(r.x))):
         a = np.frombuffer(r.x, np.float32).reshape(-1, FEATURES + 1).astype(np.float64)
