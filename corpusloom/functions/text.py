@@ -153,7 +153,7 @@ def repeats(text: Column, k: int = 16, most: int = 20_000) -> Column:
     """Positions whose k characters occurred before, among the first ``most`` (the reference semantics); higher-order form.  signals.py has the Arrow form, which is faster."""
     n = F.least(F.length(text) - k + 1, F.lit(most))
     grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(k)))
-    return F.when(F.length(text) < 2 * k, F.lit(0)).otherwise(F.size(grams) - F.size(F.array_distinct(grams))).cast("long")
+    return F.when(F.length(text) < 2 * k, F.lit(0)).when(text.isNotNull(), F.size(grams) - F.size(F.array_distinct(grams))).cast("long")
 
 
 def human_language(text: Column) -> Column:

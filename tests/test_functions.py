@@ -146,12 +146,19 @@ def test_chunks_tile(text, fmt, target, semantic):
 
 
 def test_chunk_overlap():
-    text = "".join(f"# H{i}\n\nSome words of text number {i} follow here, and more.\n\n" for i in range(60))
-    got = ck.chunks(text, policy=ck.Policy(100, 10, 20))
-    assert len(got) > 3
+    pieces = [f"{i:03d} " + "word " * 23 + "\n" for i in range(12)]
+    at, blocks = 0, []
+    for p in pieces:
+        blocks.append(ck.Block(p, at, 30, "text"))
+        at += len(p)
+    text = "".join(pieces)
+    got = list(ck.pack(blocks, ck.Policy(100, 10, 20), "doc"))
+    assert len(got) > 3 and got[0] == ("".join(pieces[:3]), 0, 90)
     for t, s, _ in got:
         assert text[s : s + len(t)] == t
-    assert any(a[1] + len(a[0]) > b[1] for a, b in zip(got, got[1:], strict=False))
+    for a, b in zip(got, got[1:], strict=False):
+        assert a[1] + len(a[0]) - b[1] == int(10 * ck.ratio(a[0], "doc"))
+    assert "".join(t for t, _, _ in ck.pack(blocks, ck.Policy(100, 0, 20), "doc")) == text
 
 
 def test_chunk_frame(spark):
