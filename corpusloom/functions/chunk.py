@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import TOKEN_MARKS
 
 _MARKS = str.maketrans("", "", TOKEN_MARKS + "".join(chr(c) for c in range(0x110000) if chr(c).isdigit()))
-_ATX = re.compile(r"[ \t]{0,3}#{1,6}[ \t]+\S")
+_ATX = re.compile(r"[\t ]{,3}(?:#{1,6})[\t ]+\S")
 _SETEXT = re.compile(r"[ \t]{0,3}(?:=+|-+)[ \t]*$")
 _OPEN = re.compile(r"[ \t]{0,3}(`{3,}|~{3,})")
 _SHUT = re.compile(r"[ \t]{0,3}(`{3,}|~{3,})[ \t]*$")
 _RULE = re.compile(r"\s*([-=`:'\"~^_*+#<>|\\])\1{2,}\s*$")
-_DIRECTIVE = re.compile(r"\s*\.\.\s+([A-Za-z][A-Za-z0-9_-]*)::.*$")
+_DIRECTIVE = re.compile(r"[ \t]*\.{2}[ \t]+([a-zA-Z][-\w]*)::.*$", re.A)
 _CODE_DIRECTIVES = set("code code-block codeblock highlight literal literalinclude sourcecode".split())
 _PARAGRAPH = re.compile(r"\n[ \t]*\n+")
-_SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[A-Z0-9])")
+_SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[0-9A-Z])")
 MAX_CODE_LINES = 4000
 
 
@@ -62,7 +62,7 @@ def ratio(text: str, kind: str) -> float:
         return 4.0
     n = len(text)
     marks = n - len(text.translate(_MARKS))
-    blanks = text.count(" ") + text.count("\n") + text.count("\t")
+    blanks = sum(map(text.count, " \n\t"))
     return max(2.8, min(4.6, (3.2 if kind == "code" else 4.0) - 0.8 * (marks / n) + 0.2 * (blanks / n)))
 
 

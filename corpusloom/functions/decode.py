@@ -21,8 +21,8 @@ from corpusloom.functions import text as tx
 
 _MARKS = ((codecs.BOM_UTF32_BE, "utf-32-be"), (codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_BE, "utf-16-be"), (codecs.BOM_UTF16_LE, "utf-16-le"))
 _INVISIBLE = dict.fromkeys((0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
-_GARBLED = re.compile("[\u00C0-\u00FF][\u0080-\u00FF]|[\u00C3\u00E2].|\u00C2|\uFFFD")
-SCHEMA = "text string, encoding string, replaced boolean, repaired boolean, controls_stripped long, newlines_normalized boolean, unicode_normalized boolean"
+_GARBLED = re.compile("[\xc0-\xff][\x80-\xff]|[\xc3\xe2].|\xc2|\ufffd")
+SCHEMA = "text string, encoding string, replaced boolean, repaired boolean, unicode_normalized boolean, newlines_normalized boolean, controls_stripped long"
 
 
 @dataclass(frozen=True)
@@ -31,13 +31,13 @@ class Decoded:
     encoding: str = "utf-8"
     replaced: bool = False
     repaired: bool = False
-    controls_stripped: int = 0
-    newlines_normalized: bool = False
     unicode_normalized: bool = False
+    newlines_normalized: bool = False
+    controls_stripped: int = 0
 
     @property
     def lossy(self) -> bool:
-        return self.replaced or self.controls_stripped > 0
+        return bool(self.controls_stripped) or self.replaced
 
     @property
     def changed(self) -> bool:
@@ -75,7 +75,7 @@ def repair(text: str) -> str:
 
 def clean(text: str, form: str | None = "NFC", controls: bool = True, **about) -> Decoded:
     """Line ends to LF, control and invisible characters out, Unicode normalised."""
-    lf = text.replace("\r\n", "\n").replace("\r", "\n")
+    lf = re.sub("\r\n?", "\n", text)
     kept = lf
     if controls:
         kept = "".join(c for c in lf.translate(_INVISIBLE) if c in "\n\t" or unicodedata.category(c)[0] != "C")

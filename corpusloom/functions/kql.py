@@ -13,8 +13,8 @@ from corpusloom.functions import paths
 
 _OPEN = re.compile(r"\s*(`{3,}|~{3,})([A-Za-z0-9_+-]*)\s*$")
 _SHUT = re.compile(r"\s*(?:`{3,}|~{3,})\s*$")
-_INDENTED = re.compile(r"(?:\t| {4,})\S")
-_HEADING = re.compile(r"\s{0,3}#{1,6}\s+(.+?)\s*$")
+_INDENTED = re.compile(r"(?:\t| {4} *)\S")
+_HEADING = re.compile(r"\s{,3}(?:#{1,6})\s+(.+?)\s*$")
 _NAME = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*", re.A)
 _PIPED = tuple(f" {w} " for w in ("extend", "join", "mv-expand", "summarize", "union", "where")) + (" project",)
 _STARTS = tuple(f"{w} " for w in ("datatable", "let", "print", "range"))

@@ -14,42 +14,45 @@ from pyspark.sql.types import StringType
 
 _LATER = "either version {} of the license, or (at your option) any later version"
 _GNU = "gnu {}general public license"
+_AS_IS = "the software is provided as is"
+_GRANT = "permission is hereby granted, free of charge"
+_FREE = "this is free and unencumbered software released into the public domain"
 _BSD = "redistribution and use in source and binary forms, with or without modification"
 _CC = "creative commons attribution"
+CC_IDS = ["CC0-1.0", *(f"CC-BY-{k}4.0" for k in ("", "SA-", "ND-", "NC-", "NC-SA-", "NC-ND-")), *(f"CC-BY-{k}3.0" for k in ("", "SA-"))]
+CC_PATHS = {"CC0-1.0": "creativecommons.org/publicdomain/zero/1.0/", **{i: f"creativecommons.org/licenses/{i[3:-4].lower()}/{i[-3:]}/" for i in CC_IDS[1:]}}
 #: In order: the first licence all of whose phrases a text holds.
 PHRASES: list[tuple[str, tuple[str, ...]]] = [
-    ("MIT", ("permission is hereby granted, free of charge", "the software is provided as is")),
-    ("Apache-2.0", ("apache license, version 2.0, january 2004", "apache.org/licenses/license-2.0")),
-    ("BSD-3-Clause", (_BSD, "neither the name of")),
-    ("BSD-2-Clause", (_BSD, "this software is provided by the copyright holders")),
-    ("BSD-4-Clause", (_BSD, "all advertising materials mentioning features or use of this software")),
-    ("MPL-2.0", ("mozilla public license version 2.0", "exhibit a - source code form license notice")),
+    ("MIT", (_AS_IS, _GRANT)),
+    ("Apache-2.0", ("apache.org/licenses/license-2.0", "apache license, version 2.0, january 2004")),
+    ("BSD-3-Clause", ("neither the name of", _BSD)),
+    ("BSD-2-Clause", ("this software is provided by the copyright holders", _BSD)),
+    ("BSD-4-Clause", ("all advertising materials mentioning features or use of this software", _BSD)),
+    ("MPL-2.0", ("exhibit a - source code form license notice", "mozilla public license version 2.0")),
     *((f"GPL-{v}.0-or-later", (_GNU.format(""), _LATER.format(v))) for v in (3, 2)),
     *((f"GPL-{v}.0-only", (_GNU.format(""), f"version {v}")) for v in (3, 2)),
     ("LGPL-3.0-or-later", (_GNU.format("lesser "), _LATER.format(3))),
     ("LGPL-3.0-only", (_GNU.format("lesser "), "version 3")),
     ("AGPL-3.0-only", (_GNU.format("affero "), "version 3")),
     ("AGPL-3.0-or-later", (_GNU.format("affero "), _LATER.format(3))),
-    ("EPL-2.0", ("eclipse public license version 2.0", "eclipse.org/legal/epl-2.0")),
-    ("CC0-1.0", ("cc0 1.0 universal", "creative commons corporation is not a law firm")),
-    ("BSL-1.0", ("permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software", "boost software license")),
-    ("Unlicense", ("this is free and unencumbered software released into the public domain",)),
-    ("ISC", ("permission to use, copy, modify, and/or distribute this software for any purpose", "the software is provided as is and the author disclaims")),
+    ("EPL-2.0", ("eclipse.org/legal/epl-2.0", "eclipse public license version 2.0")),
+    ("CC0-1.0", ("creative commons corporation is not a law firm", "cc0 1.0 universal")),
+    ("BSL-1.0", ("boost software license", f"{_GRANT}, to any person or organization " + "obtaining a copy of the software")),
+    ("Unlicense", (_FREE,)),
+    ("ISC", (f"{_AS_IS} and the author disclaims", "permission to use, copy, modify, " + "and/or distribute this software for any purpose")),
     ("CC-BY-4.0", (f"{_CC} 4.0 international public license",)),
     *((f"CC-BY-{code}-4.0", (f"{_CC}-{words} 4.0 international", f"creativecommons.org/licenses/by-{code.lower()}/4.0/")) for code, words in (("SA", "sharealike"), ("ND", "noderivatives"), ("NC", "noncommercial"), ("NC-SA", "noncommercial-sharealike"), ("NC-ND", "noncommercial-noderivatives"))),
     ("CC-BY-3.0", (f"{_CC} 3.0 unported",)),
-    ("CC-BY-SA-3.0", (f"{_CC}-sharealike 3.0 unported", "creativecommons.org/licenses/by-sa/3.0/")),
+    ("CC-BY-SA-3.0", (CC_PATHS["CC-BY-SA-3.0"], f"{_CC}-sharealike 3.0 unported")),
 ]
-CC_IDS = ["CC0-1.0", *(f"CC-BY-{k}4.0" for k in ("", "SA-", "ND-", "NC-", "NC-SA-", "NC-ND-")), "CC-BY-3.0", "CC-BY-SA-3.0"]
-CC_PATHS = {"CC0-1.0": "creativecommons.org/publicdomain/zero/1.0/", **{i: f"creativecommons.org/licenses/{i[3:-4].lower()}/{i[-3:]}/" for i in CC_IDS[1:]}}
 _MORE = "0BSD AAL BSD-2-Clause-Patent BSD-3-Clause-Clear CC-BY-2.0 CC-BY-2.5 CC-BY-SA-2.0 CC-BY-SA-2.5 EUPL-1.2 LGPL-2.1-only LGPL-2.1-or-later MIT-0 Zlib"
 SPDX_IDS = {n for n, _ in PHRASES} | set(CC_IDS) | set(_MORE.split())
-EXCEPTIONS = {f"{n}-exception-{v}" for n, v in (("Autoconf", "2.0"), ("Autoconf", "3.0"), ("Bison", "2.2"), ("Classpath", "2.0"), ("Font", "2.0"), ("GCC", "2.0"), ("GCC", "3.1"), ("WxWindows", "3.1"), ("OpenJDK-assembly", "1.0"), ("Universal-FOSS", "1.0"))} | {"GPL-3.0-linking-exception", "LLVM-exception", "OCaml-LGPL-linking-exception", "OpenSSL-exception"}
+EXCEPTIONS = {f"{n}-exception-{v}" for n, v in (("Autoconf", "2.0"), ("Autoconf", "3.0"), ("Bison", "2.2"), ("Classpath", "2.0"), ("Font", "2.0"), ("GCC", "2.0"), ("GCC", "3.1"), ("WxWindows", "3.1"), ("OpenJDK-assembly", "1.0"), ("Universal-FOSS", "1.0"))} | {f"{n}-exception" for n in "LLVM OpenSSL GPL-3.0-linking OCaml-LGPL-linking".split()}
 _OWN = re.compile(r"(?:DocumentRef-[A-Za-z0-9.-]+:)?LicenseRef-[A-Za-z0-9.-]+$")
-_HEADER = re.compile(r"SPDX-License-Identifier:\s*([^\s*]+(?:[^\S\n]+[^\s*]+)*)", re.I)
+_HEADER = re.compile(r"SPDX-License-Identifier:[ \t]*([^\s*][^*\n]*)", re.I)
 _FILES = tuple("license license.txt license.md license.rst license-mit license-apache licence licence.txt copying copying.txt copying.md copying.lesser unlicense".split())
 _SKIPPED = re.compile(r"(?:vendor|third[_-]party|deps|node_modules|\.git|submodules|dist|build)/")
-_CC_URL = re.compile(r"https?://creativecommons\.org/(?:licenses|publicdomain)/[A-Za-z-]+/[0-9.]+(?:/[A-Za-z0-9.-]+)*/?", re.I)
+_CC_URL = re.compile(r"https?://creative" r"commons\.org/(?:publicdomain|licenses)/[a-z-]+/[\d.]+(?:/[a-z\d.-]+)*/?", re.I)
 _SCOPES = tuple(f"{w} licensed under" for w in ("this work is", "this project is", "this repository is", "this content is", "this documentation is", "the contents of this repository are"))
 HEADER_FILES, HEADER_BYTES, TEXT_BYTES = 200, 32 << 10, 128 << 10
 
@@ -79,16 +82,16 @@ def spdx(expression: str) -> str | None:
         out.append(t)
     if operand or depth or after_with:
         return None
-    return " ".join(out).replace("( ", "(").replace(" )", ")")
+    return re.sub(r"(?<=\() | (?=\))", "", " ".join(out))
 
 
 def match_text(text: str) -> str | None:
-    plain = text.lower().replace('"', "").replace("'", "")
+    plain = text.lower().translate({34: None, 39: None})
     return next((name for name, phrases in PHRASES if all(p in plain for p in phrases)), None)
 
 
 def digest(text: str) -> str:
-    return sha256(text.encode("utf-8", "ignore")).hexdigest()
+    return sha256(text.encode(errors="ignore")).hexdigest()
 
 
 def _found(expression: str, path: str, method: str, hashed: str | None = None, **more) -> dict:
@@ -170,7 +173,7 @@ def from_files(root: dict[str, tuple[str, str]]) -> dict | None:
 
 
 def _cc_name(name: str) -> str | None:
-    base = re.sub(r"(?i)\.(?:txt|md|rst|html|htm|license)$", "", name.strip()).replace("_", "-").upper()
+    base = re.sub(r"(?i)\.(?:txt|md|rst|html|htm|license)$", "", name.strip()).upper().replace("_", "-")
     return next((i for i in CC_IDS if i.upper() == base), None)
 
 

@@ -10,20 +10,21 @@ from pyspark.sql import functions as F
 _LANG = {
     "bash": "sh bash", "batch": "bat cmd", "c": "c h", "cpp": "cc cpp cxx hh hpp hxx", "csharp": "cs", "go": "go", "ini": "cfg ini", "java": "java",
     "javascript": "cjs js jsx mjs", "json": "json jsonc", "julia": "jl", "kotlin": "kt kts", "log": "log", "lua": "lua", "ndjson": "ndjson", "perl": "pl pm",
-    "php": "php", "powershell": "ps1 psd1 psm1", "python": "ipynb py", "r": "r", "ruby": "rb", "rust": "rs", "scala": "scala", "sigma": "sigma", "sparql": "sparql",
+    "powershell": "ps1 psd1 psm1", "php": "php", "python": "ipynb py", "r": "r", "ruby": "rb", "rust": "rs", "scala": "scala", "sigma": "sigma", "sparql": "sparql",
     "sql": "sql", "swift": "swift", "toml": "toml", "typescript": "ts tsx", "windows-eventlog": "evtx", "xml": "xml xslt", "yaml": "yaml yml", "yara": "yar yara", "zsh": "zsh",
 }
 _DOC = {"markdown": "markdown md mdx", "restructuredtext": "rst", "asciidoc": "adoc", "text": "txt"}
-_FORMAT = {"markdown": "md", "restructuredtext": "rst", "asciidoc": "asciidoc", "text": "text"}
+_FORMAT = {"text": "text", "markdown": "md", "asciidoc": "asciidoc", "restructuredtext": "rst"}
 
 LANG_OF = {f".{e}": lang for d in (_LANG, _DOC) for lang, exts in d.items() for e in exts.split()}
 DOC_EXTS = {f".{e}" for exts in _DOC.values() for e in exts.split()}
 CODE_EXTS = set(LANG_OF) - DOC_EXTS | {".py3", ".pyw"}
 FORMAT_OF = {e: _FORMAT[LANG_OF[e]] for e in DOC_EXTS}
-SPECIAL = {"cmakelists.txt": "cmake", "docker-compose.yaml": "yaml", "docker-compose.yml": "yaml", "dockerfile": "docker", "gemfile": "ruby", "makefile": "makefile", "package-lock.json": "json", "package.json": "json", "poetry.lock": "python", "requirements.txt": "python"}
-_INTERPRETERS = {"bash": "bash sh", "javascript": "deno node nodejs", "lua": "lua", "perl": "perl", "php": "php", "python": "python python2 python3", "r": "rscript", "ruby": "ruby", "zsh": "zsh"}
+_NAMES = {"cmake": "cmakelists.txt", "docker": "dockerfile", "json": "package-lock.json package.json", "makefile": "makefile", "python": "poetry.lock requirements.txt", "ruby": "gemfile", "yaml": "docker-compose.yaml docker-compose.yml"}
+SPECIAL = {n: lang for lang, names in _NAMES.items() for n in names.split()}
+_INTERPRETERS = {"bash": "bash sh", "javascript": "deno node nodejs", "php": "php", "lua": "lua", "python": "python python2 python3", "perl": "perl", "r": "rscript", "zsh": "zsh", "ruby": "ruby"}
 INTERPRETER_OF = {n: lang for lang, names in _INTERPRETERS.items() for n in names.split()}
-_ODD_NAMES = {"cpp": "C++", "csharp": "C#", "asciidoc": "AsciiDoc", "javascript": "JavaScript", "typescript": "TypeScript", "powershell": "PowerShell", "php": "PHP", "restructuredtext": "reStructuredText", "windows-eventlog": "Windows Event Log", **{n: n.upper() for n in ("sql", "sparql", "json", "yaml", "toml", "ini", "xml", "yara", "ndjson")}}
+_ODD_NAMES = {"csharp": "C#", "asciidoc": "AsciiDoc", "cpp": "C++", "javascript": "JavaScript", "typescript": "TypeScript", "powershell": "PowerShell", "php": "PHP", "restructuredtext": "reStructuredText", "windows-eventlog": "Windows Event Log", **{n: n.upper() for n in ("sql", "sparql", "json", "yaml", "toml", "ini", "xml", "yara", "ndjson")}}
 DISPLAY = {lang: _ODD_NAMES.get(lang, lang.capitalize()) for lang in sorted(set(LANG_OF.values()))}
 
 
@@ -116,11 +117,11 @@ def normalize_exts(exts) -> list[str] | None:
     return found or None
 
 
-_WINDOWS = {"con", "prn", "aux", "nul", *(f"{d}{i}" for d in ("com", "lpt") for i in range(1, 10))}
+_WINDOWS = {*"aux con nul prn".split(), *(f"{d}{i}" for d in ("com", "lpt") for i in range(1, 10))}
 
 
 def safe_name(*pieces: str | None, most: int = 120) -> str:
     """File name of the pieces, joined by two underscores."""
-    kept = [re.sub(r"[^A-Za-z0-9._-]+", "_", p.strip()).strip("._-") for p in pieces if p and p.strip()]
+    kept = [re.sub(r"[^\w.-]+", "_", p.strip(), flags=re.A).strip("._-") for p in pieces if p and p.strip()]
     name = "__".join(p for p in kept if p)[:most].rstrip("._-") or "output"
     return f"_{name}" if name.split(".")[0].lower() in _WINDOWS else name

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+EMAIL = r"[\w%+.-]+@[\dA-Za-z.-]+\.(?:[A-Za-z]){2,}"
 PHONE = r"\+?[0-9][0-9\s().-]{7,}"
 IPV4 = r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"
-IPV6 = r"\b(?:[A-Fa-f0-9]{1,4}:){1,7}[A-Fa-f0-9]{0,4}\b"
+IPV6 = r"\b(?:[0-9a-fA-F]{1,4}:){1,7}[0-9a-fA-F]{0,4}\b"
 TOXIC_TERMS = ("abuse", "extremist", "hate", "kill", "nsfw", "racist", "terrorism", "violence")
 
 
@@ -30,7 +30,7 @@ def ipv4_count(text: Column) -> Column:
 def ipv6_count(text: Column) -> Column:
     """Of what the pattern takes as addresses, the valid ones: the full form of eight groups (it can't hold '::')."""
     found = F.regexp_extract_all(text, F.lit(IPV6), F.lit(0))
-    return F.size(F.filter(found, lambda x: x.rlike(r"^(?:[A-Fa-f0-9]{1,4}:){7}[A-Fa-f0-9]{1,4}$"))).cast("long")
+    return F.size(F.filter(found, lambda x: x.rlike(r"^(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}$"))).cast("long")
 
 
 def ip_count(text: Column) -> Column:

@@ -11,7 +11,7 @@ from corpusloom.functions import text as tx
 
 TEXTY = ("html", "markdown", "restructuredtext", "text")
 LOGS = ("csv", "json", "jsonl", "xml", "yaml")
-CODE = ("bash", "c", "c++", "go", "java", "javascript", "kql", "powershell", "python", "rust", "shell", "sigma", "spl", "typescript", "yara")
+CODE = tuple("bash c c++ go java javascript kql powershell python rust shell sigma spl typescript yara".split())
 
 
 @dataclass(frozen=True)
@@ -59,8 +59,8 @@ def length_ok(n: Column, lang: Column, h: Heuristics = Heuristics()) -> Column:
     return F.when(n.between(b["lo"], b["hi"]), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(n - middle) / b["hi"]))
 
 
-MD_HEADING = r"(?m)^[ \t]{0,3}#{1,6}[ \t]+[^ \t\n]"
-RST_HEADING = r"(?m)^[^\n]{3,}\n[=~`^\"'+#-]{3,}[ \t]*$"
+MD_HEADING = r"(?m)^[\t ]{0,3}(?:#{1,6})[\t ]+[^ \t\n]"
+RST_HEADING = r"(?m)^[^\n]{3}[^\n]*\n[\"#'+=^`~-]{3,}[ \t]*$"
 
 
 def parse_ok(text: Column, lang: Column, parsed: Column | None = None, h: Heuristics = Heuristics()) -> Column:

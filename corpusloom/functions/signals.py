@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType
 
 PRIME = 4294967311
 SEED = 0x5EED5EED
-_TOKEN = re.compile(r"[A-Za-z][A-Za-z0-9_]{2,}")
+_TOKEN = re.compile(r"[A-Za-z]\w{2,}", re.A)
 _COMMON = frozenset("about across also based been between could each from have here into many more most onto other over should some such than that their them then there these this those under upon used using very when where which while will with within would your".split())
 _TOKENS: dict[str, int] = {}
 

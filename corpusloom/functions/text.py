@@ -18,7 +18,7 @@ CODE_MARKS = "%&()*+,-/:;<=>[]{|}"
 #: Symbols that make tokens short.
 TOKEN_MARKS = "#$%()*+,-./:;<=>@[\\]^`{|}~"
 STOP_WORDS = tuple("a about all an and as at be but by do for from get go have he her his i if in it me my not of on one or out say she so that the their there they this to up we what when which who will with would you".split())
-BULLET = rf"^[{SPACES}]*(?:[-*+•·◦∙]|[0-9]{{1,3}}[.)])[{SPACES}]+"
+BULLET = rf"^[{SPACES}]*(?:[*+·•∙◦-]|\d{{1,3}}[).])[{SPACES}]+"
 CONTROLS = r"[\p{C}\u200B\u200C\u200D\u2060\uFEFF&&[^\n\t]]"
 
 

@@ -12,10 +12,10 @@ from corpusloom.functions import text as tx
 SCHEMA_VERSION = "2"
 SUMMARY_KINDS = ("qc_summary", "run_header", "run_summary")
 _FALLBACK = ("cp1252", "iso-8859-1", "latin-1")
-META = (
-    "kind", "source", "repo", "path", "url", "source_domain", "license", "lang", "lang_score", "language", "chunk_id", "n_chunks", "encoding", "had_replacement", "decoding_fallback_used", "sha256",
-    "approx_tokens", "tokens", "bytes", "file_bytes", "truncated_bytes", "nlines", "file_nlines", "schema_version",
-)
+META = tuple(
+    "kind source repo path url source_domain license lang lang_score language chunk_id n_chunks encoding had_replacement decoding_fallback_used "
+    "sha256 approx_tokens tokens bytes file_bytes truncated_bytes nlines file_nlines schema_version".split()
+)
 
 
 def _get(df: DataFrame, name: str, kind: str = "string") -> Column:

@@ -9,14 +9,15 @@ from corpusloom.functions import safety, score, signals
 from corpusloom.functions import text as tx
 from corpusloom.operators import dedup
 
-MODES = ("inline", "advisory", "post", "off")
+MODES = tuple("advisory inline off post".split())
 MIN_SCORE = 60.0
 
 
-def quality(docs: DataFrame, lang: Column | None = None, h: score.Heuristics = score.Heuristics(), text: str = "text", parse: bool = False) -> DataFrame:
+def quality(docs: DataFrame, lang: Column | None = None, h: score.Heuristics = score.Heuristics(), text: str = "text", parse: bool = False, perplexity: str | None = None) -> DataFrame:
     """docs and the quality signals, before duplicates: n_tokens, ratios, parse_ok, gopher_quality, score (0 to 100).
 
     The text goes to Python once, for repetition; all else is native.  parse: also checks python, yaml, json and jsonl.
+    perplexity: a column of a language model's perplexities, where one was computed.
     """
     t = F.col(text)
     label = F.coalesce(F.nullif(F.trim(lang), F.lit("")), F.lit("Text")) if lang is not None else F.lit("Text")
@@ -36,7 +37,7 @@ def quality(docs: DataFrame, lang: Column | None = None, h: score.Heuristics = s
             "gopher_quality": tx.gopher_score(t) if h.gopher else F.lit(1.0),
         }
     ).drop("__rep")
-    base = score.base_score(*(F.col(c) for c in ("length_ok", "repetition", "code_complexity", "ascii_ratio", "parse_ok")), F.lit(0.5), F.col("gopher_quality"), h)
+    base = score.base_score(*(F.col(c) for c in ("length_ok", "repetition", "code_complexity", "ascii_ratio", "parse_ok")), score.lm_score(F.col(perplexity) if perplexity else None), F.col("gopher_quality"), h)
     return out.withColumn("score", 100 * base)
 
 
@@ -91,3 +92,8 @@ def chain_counts(rows: DataFrame, screens: list[tuple[str, str]]) -> DataFrame:
         aggs.append(F.struct(F.lit(n).alias("screener"), F.count_if(seen).alias("scored"), F.count_if(seen & ~gone).alias("kept"), F.count_if(seen & gone).alias("dropped")))
         seen = seen & ~gone
     return rows.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
+
+
+def merge_counts(parts: DataFrame) -> DataFrame:
+    """Screener counts of shards (screener, scored, kept, dropped, ...), added up."""
+    return parts.groupBy("screener").agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in parts.columns if c != "screener"])

@@ -65,3 +65,25 @@ def shard_of(position: Column, total: Column, shards: int) -> Column:
     base, extra = F.floor(total / shards), total % shards
     edge = extra * (base + 1)
     return F.when(position < edge, F.floor(position / (base + 1))).otherwise(extra + F.floor((position - edge) / F.greatest(base, F.lit(1)))).cast("long") + 1
+
+
+class ErrorRate(RuntimeError):
+    """Too many inputs failed."""
+
+
+def enforce_error_rate(rows: DataFrame, failed: Column, most: float | None) -> None:
+    """Raises ErrorRate if the share of rows for which ``failed`` holds is above ``most``; None allows all."""
+    if most is None:
+        return
+    n = rows.agg(F.count("*").alias("all"), F.count_if(F.coalesce(failed, F.lit(False))).alias("bad")).first()
+    if n["all"] and n.bad / n["all"] > most:
+        raise ErrorRate(f"{n.bad} of {n['all']} inputs failed; at most {most:.2%} may")
+
+
+def modalities(exts: Column) -> Column:
+    """Sorted modality tags from an array of extensions (with dots)."""
+    groups = {"audio": (".flac", ".mp3", ".ogg", ".wav"), "image": (".bmp", ".gif", ".jpeg", ".jpg", ".png", ".tiff", ".webp"), "tabular": (".csv", ".db", ".parquet", ".sqlite", ".tsv"), "video": (".avi", ".mkv", ".mov", ".mp4", ".webm")}
+    hit = [F.when(F.arrays_overlap(exts, F.array(*[F.lit(e) for e in sorted(v)])), k) for k, v in sorted(groups.items())]
+    known = F.array(*[F.lit(e) for v in groups.values() for e in v])
+    text = F.when((F.size(F.array_except(exts, known)) > 0) | (F.size(exts) == 0), "text")
+    return F.array_sort(F.array_compact(F.array(*hit, text)))

@@ -7,6 +7,7 @@ which the sinks and the statistics both read.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,14 @@ from pyspark.sql import functions as F
 
 from corpusloom import sinks
 from corpusloom.functions import decode, kql
-from corpusloom.operators import dedup, records, screen
+from corpusloom.operators import dedup, records, screen, stats
 from corpusloom.plans.config import Config, to_dict
 from corpusloom.sinks import card
 from corpusloom.sources import load
 from corpusloom.workspace import Tables
 
+Transform = Callable[[DataFrame], DataFrame]
+
 
 def source_rows(spark: SparkSession, config: Config) -> DataFrame:
     """Decoded files of all sources: path, text and what decoding tells."""
@@ -36,8 +39,9 @@ def source_rows(spark: SparkSession, config: Config) -> DataFrame:
 
 
 def record_rows(spark: SparkSession, config: Config) -> DataFrame:
-    """text, meta and doc_id of all records."""
+    """text, meta and doc_id of all records.  More unreadable inputs than max_error_rate allows are an error."""
     files = source_rows(spark, config)
+    stats.enforce_error_rate(files, F.col("text").isNull(), config.max_error_rate)
     for k, v in config.metadata.items():
         files = files.withColumn(k, F.lit(v))
     rows = records.from_files(files, config.chunk)
@@ -73,8 +77,12 @@ class Result:
     summary: dict
 
 
-def run(spark: SparkSession, config: Config) -> Result:
-    rows = Tables(spark, "run").keep(screened(spark, config, record_rows(spark, config)), "screened")
+def run(spark: SparkSession, config: Config, before: tuple[Transform, ...] = (), after: tuple[Transform, ...] = ()) -> Result:
+    """before: changes to records ahead of screening (text, meta, doc_id); after: changes to what the screens keep (text, meta)."""
+    found = record_rows(spark, config)
+    for change in before:
+        found = found.transform(change)
+    rows = Tables(spark, "run").keep(screened(spark, config, found), "screened")
     names = [("quality", "qc_would_drop", config.quality.mode), ("safety", "safety_would_drop", config.safety.mode)]
     kept, counts = rows, {}
     for name, column, mode in names:
@@ -82,6 +90,8 @@ def run(spark: SparkSession, config: Config) -> Result:
             counts[name] = screen.screener_counts(kept, column, mode=mode).first().asDict()
             kept = screen.gate(kept, column, mode)
     out = kept.select("text", "meta")
+    for change in after:
+        out = out.transform(change)
     for s in config.sinks:
         path, rest = s.options["path"], {k: v for k, v in s.options.items() if k != "path"}
         if s.kind in ("jsonl", "jsonl_gz"):

@@ -202,7 +202,7 @@ def signal_stats(spark, table):
 _PII = f"len(regexp_extract_all(text, {_re2(safety.EMAIL)})) AS num_emails, len(regexp_extract_all(text, {_re2(safety.PHONE)})) AS num_phones"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _IPV4 = f"len(list_filter(regexp_extract_all(text, {_re2(safety.IPV4)}), lambda x: regexp_full_match(x, '{_OCTET}(?:\\.{_OCTET}){{3}}')))"
-_IPV6 = rf"len(list_filter(regexp_extract_all(text, {_re2(safety.IPV6)}), lambda x: regexp_full_match(x, '(?:[A-Fa-f0-9]{{1,4}}:){{7}}[A-Fa-f0-9]{{1,4}}')))"
+_IPV6 = rf"len(list_filter(regexp_extract_all(text, {_re2(safety.IPV6)}), lambda x: regexp_full_match(x, '(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}')))"
 _HITS = rf"len(regexp_extract_all(lower(text), '\b(?:{'|'.join(safety.TOXIC_TERMS)})\b'))"
 _SAFE = f"safe AS (SELECT doc_id, lang, source, {_PII}, {_IPV4} + {_IPV6} AS num_ips, {_HITS} AS hits FROM documents)"
 _DECISION = "CASE WHEN num_emails + num_phones + num_ips > 0 THEN 'drop' WHEN hits > 0 THEN 'review' ELSE 'keep' END"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import tomllib
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
-from typing import Any, get_type_hints
+from typing import get_type_hints
 
 from corpusloom.functions.chunk import Policy
 from corpusloom.functions.score import Heuristics
@@ -17,13 +17,13 @@ DEDUP = ("none", "exact", "near")
 @dataclass(frozen=True)
 class Source:
     kind: str
-    options: dict[str, Any] = field(default_factory=dict)
+    options: dict = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
 class Sink:
     kind: str
-    options: dict[str, Any] = field(default_factory=dict)
+    options: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if self.kind not in ("jsonl", "jsonl_gz", "prompts", "parquet"):

@@ -19,7 +19,10 @@ def jsonl(records: DataFrame, path: str, gzip: bool = False, mode: str = "error"
             extra.coalesce(1).write.mode("append").option("compression", "gzip" if gzip else "none").json(path)
 
 
-def prompts(records: DataFrame, path: str, heading: str = "### {path} [chunk {chunk}]", mode: str = "error", ordered: bool = True) -> None:
+HEADING = "### {path} [chunk {chunk}]"
+
+
+def prompts(records: DataFrame, path: str, heading: str = HEADING, mode: str = "error", ordered: bool = True) -> None:
     """Heading, text and a blank line for each record; ordered: files and rows by path and chunk (a range sort, no single task)."""
     pieces = []
     for k, part in enumerate(heading.replace("{chunk}", "\0c\0").replace("{path}", "\0p\0").split("\0")):

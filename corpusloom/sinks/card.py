@@ -50,7 +50,7 @@ def yaml(data, indent: int = 0) -> str:
 
 
 def human_bytes(n: float) -> str:
-    for unit in ("B", "KB", "MB", "GB", "TB"):
+    for unit in "B KB MB GB TB".split():
         if n < 1024:
             return f"{n:.0f} {unit}" if unit == "B" else f"{n:.1f} {unit}"
         n /= 1024

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable
+from importlib.metadata import entry_points
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,14 @@ def load(spark: SparkSession, kind: str, **options) -> DataFrame:
     return _SOURCES[kind](spark, **options)
 
 
+def load_plugins(group: str = "corpusloom.sources") -> list[str]:
+    """Registers the sources that installed packages offer as entry points; their names."""
+    found = list(entry_points(group=group))
+    for e in found:
+        register(e.name, e.load())
+    return sorted(e.name for e in found)
+
+
 def names() -> list[str]:
     return sorted(_SOURCES)
 

@@ -21,7 +21,7 @@ class ArchiveLimit(ValueError):
 
 def safe_path(name: str) -> str | None:
     """A member's relative path, or None if it would leave the folder."""
-    parts = name.replace("\\", "/").split("/")
+    parts = name.translate({92: 47}).split("/")
     if name.startswith(("/", "\\")) or ":" in parts[0] or ".." in parts or any(ord(c) < 32 for c in name):
         return None
     return "/".join(p for p in parts if p not in ("", ".")) or None

@@ -134,3 +134,17 @@ def glob(spark: SparkSession, root: str, pattern: str = "*", max_bytes: int | No
     if max_bytes is not None:
         raw = raw.where(F.col("length") <= max_bytes)
     return _files(raw, str(Path(root).resolve()) if "://" not in root else root, prefix_bytes).dropDuplicates(["path"])
+
+
+def git_context(root: str) -> dict[str, str]:
+    """repo and repo_url of a working copy from the address of its origin, credentials left out; empty if there is none."""
+    import configparser
+
+    parser = configparser.ConfigParser(strict=False, interpolation=None)
+    try:
+        parser.read_string(re.sub(r"(?m)^[ \t]+", "", (Path(root) / ".git" / "config").read_text("utf-8", "replace")))
+        url = parser['remote "origin"']["url"]
+    except (OSError, KeyError, configparser.Error):
+        return {}
+    m = re.match(r"(?:[a-z+]+://)?(?:[^@/]*@)?([^/:]+)(?::\d+)?[/:](.+?)(?:\.git)?/?$", url)
+    return {"repo": m[2], "repo_url": f"https://{m[1]}/{m[2]}"} if m and "/" in m[2] else {}

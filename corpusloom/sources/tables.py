@@ -42,7 +42,7 @@ def csv_text(spark: SparkSession, path: str, text_column: str = "text", header:
         if text_column.lower() not in low:
             raise ValueError(f"no column {text_column!r}; there are {', '.join(raw.columns)}")
         text = low[text_column.lower()]
-        label = next((low[n] for n in ("path", "filepath", "file_path", "id") if n in low), None)
+        label = next((low[n] for n in "path filepath file_path id".split() if n in low), None)
     else:
         text, label = raw.columns[text_index], None
     t = F.trim(F.col(f"`{text}`"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import sinks, sources
 from corpusloom.cli import main
-from corpusloom.operators import dedup
+from corpusloom.operators import dedup, screen, stats
 from corpusloom.plans import builder, config
 from corpusloom.sinks import card
 from corpusloom.sources import archives, files, tables, web
@@ -194,3 +194,36 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).select(F.count_distinct("text")).first()[0] == 3
     assert store.signatures().count() == 3
+
+
+def test_transforms_and_error_rate(spark, tree, tmp_path):
+    c = config.from_dict({"sources": [{"kind": "local_dir", "options": {"root": tree, "include": [".txt"], "max_bytes": 100}}], "max_error_rate": 0.1})
+    seen = builder.run(spark, c, before=(lambda d: d.where("meta.path like 'sub/%'"),), after=(lambda d: d.withColumn("text", F.upper("text")),))
+    assert [r.text for r in seen.records.collect()] == ["TEXT C"]
+    rows = spark.createDataFrame([("a",), (None,)], "text string")
+    with pytest.raises(stats.ErrorRate):
+        stats.enforce_error_rate(rows, F.col("text").isNull(), 0.4)
+    stats.enforce_error_rate(rows, F.col("text").isNull(), 0.5)
+    stats.enforce_error_rate(rows.where("text = 'none'"), F.col("text").isNull(), 0.0)
+
+
+def test_git_context(tmp_path):
+    assert files.git_context(str(tmp_path)) == {}
+    (tmp_path / ".git").mkdir()
+    for url in ("https://user:secret@example.com/me/mine.git", "git@example.com:me/mine.git", "ssh://git@example.com:22/me/mine"):
+        (tmp_path / ".git/config").write_text(f'[core]\n\tbare = false\n[remote "origin"]\n\turl = {url}\n')
+        assert files.git_context(str(tmp_path)) == {"repo": "me/mine", "repo_url": "https://example.com/me/mine"}
+
+
+def test_modalities(spark):
+    rows = spark.createDataFrame([([".py", ".png"],), ([".mp3"],), ([],)], "e array<string>").select(stats.modalities(F.col("e")).alias("m"))
+    assert [r.m for r in rows.collect()] == [["image", "text"], ["audio"], ["text"]]
+    assert sources.load_plugins("no.such.group") == []
+
+
+def test_merge_screeners_and_perplexity(spark):
+    parts = spark.createDataFrame([("q", 5, 3), ("q", 2, None), ("s", 1, 1)], "screener string, scored long, kept long")
+    assert sorted(map(tuple, screen.merge_counts(parts).collect())) == [("q", 7, 3), ("s", 1, 1)]
+    df = spark.createDataFrame([(1, "some text", 20.0), (2, "some text", None)], "doc_id long, text string, ppl double")
+    got = [r.score for r in screen.quality(df, perplexity="ppl").orderBy("doc_id").collect()]
+    assert got[0] == pytest.approx(got[1])
