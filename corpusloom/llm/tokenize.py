@@ -36,7 +36,7 @@ from corpusloom.llm import textkit as tk
 #: Path of the vocabulary (ranks, one token and its rank a line); never copied into the repository.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct parts that a worker remembers.
-MEMORY = 600_000
+MEMORY = 400_000
 
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 
@@ -104,7 +104,7 @@ class Vocabulary:
         key = left << 20 | right
         known = self._good.get(key)
         if known is None:
-            if len(self._good) > 2_000_000:
+            if len(self._good) > 500_000:
                 self._good.clear()
             known = self._good[key] = self._compatible(left, right)
         return known
@@ -307,16 +307,21 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            text = b.column("text")
-            valid = text.is_valid().to_numpy(zero_copy_only=False)
-            data, off = tk.utf8(text)
-            ids, ends = enc.encode(data, off)
-            back = enc.vocabulary.gather(ids) if len(ids) else np.zeros(0, np.uint8)
-            whole = np.concatenate([[0], np.cumsum(enc.vocabulary.sizes[ids])])[ends] if len(ids) else np.zeros(len(ends), np.int64)
-            same = np.array_equal(back, data) and np.array_equal(whole, off)
-            ok = np.full(len(b), True) if same else np.array([np.array_equal(back[whole[i] : whole[i + 1]], data[off[i] : off[i + 1]]) for i in range(len(b))], bool)
-            n = pa.array(np.diff(ends), mask=~valid)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, _lists(ids, ends, valid), pa.array(ok, mask=~valid)], ["doc_id", "n_tokens", "token_ids", "round_trip"])
+            # a run of rows at a time: ids and the decoded copy take many times the memory of the text
+            for i, j in tk.runs(tk.utf8(b.column("text"))[1]):
+                yield part(enc, b.slice(i, j - i))
+
+    def part(enc, b):
+        text = b.column("text")
+        valid = text.is_valid().to_numpy(zero_copy_only=False)
+        data, off = tk.utf8(text)
+        ids, ends = enc.encode(data, off)
+        back = enc.vocabulary.gather(ids)
+        whole = np.concatenate([[0], np.cumsum(enc.vocabulary.sizes[ids])])[ends]
+        same = np.array_equal(back, data) and np.array_equal(whole, off)
+        ok = np.full(len(b), True) if same else np.array([np.array_equal(back[whole[i] : whole[i + 1]], data[off[i] : off[i + 1]]) for i in range(len(b))], bool)
+        n = pa.array(np.diff(ends), mask=~valid)
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), n, _lists(ids, ends, valid), pa.array(ok, mask=~valid)], ["doc_id", "n_tokens", "token_ids", "round_trip"])
 
     only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return only.mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
