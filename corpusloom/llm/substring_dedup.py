@@ -162,7 +162,7 @@ class SuffixAutomaton:
         return [(a, b) for a, b in out]
 
 
-@lru_cache(256)
+@lru_cache(32)
 def _automaton(passages: str) -> SuffixAutomaton:
     """Of a shard: passages end at line feeds, words at spaces."""
     made = SuffixAutomaton()
@@ -234,6 +234,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
             for doc, start, text, shard in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "words", "shard")), strict=True):
                 out += [(doc, start + a, start + z) for a, z in _automaton(shard).spans(text.split(" "), min_words)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32())], ["doc_id", "start", "stop"])
+        _automaton.cache_clear()  # workers live on after the task
 
     return joined.select("doc_id", "start", "words", "shard").mapInArrow(match, "doc_id long, start int, stop int")
 
