@@ -5,21 +5,22 @@ that an earlier document (smaller doc_id) holds too is removed; its first
 document keeps it.
 
 1. Anchors: hashes of ``ANCHOR``-grams of words, winnowed so that every run of
-   min_words words contains one (and its copies contain the same one).
-2. The owner of an anchor is its least (doc_id, position).  Anchors of a single
-   document are dropped; all others have an owner and hits.
-3. Reference shards: for each owner, the text within min_words words of the
-   anchors it owns, as maximal passages.
+   min_words words contains one (and its copies contain the same one).  Anchors
+   of a single document are dropped.
+2. Windows: hashes of the runs of min_words words around the other anchors.  A
+   repeated run contains a shared anchor, so no repeat is left out.  The owner
+   of a window is the least doc_id that holds it; each later holder has a hit.
+   Windows are sorted and read as a stream, so a hot window costs no memory.
+3. Reference shards: for each owner, the windows it owns, as maximal passages.
 4. A generalised suffix automaton over words is built per shard.  The regions
-   of a document around its hits are streamed through the automaton of their
+   of a document that its hits cover are streamed through the automaton of their
    owner; matching statistics give, at each word, the longest match that ends
    there, and the maximal matches of min_words words or more are removed.
 
-The reference of an anchor is its first holder only, so a passage is matched in
-the owners of its anchors; where near copies differ within the passage, an
-earlier holder that owns none of its anchors isn't consulted (at sf0.1 this
-leaves 510 of 386,069 repeated words).  Passages that are copied verbatim own
-or share all their anchors and are found whole.
+Every window has an owner of its own, so what goes is exactly what an earlier
+document holds in runs of min_words words, also where an earlier document holds
+a shorter piece of a passage.  A region is cut by owners, so where the owner
+changes from word to word, a word is read up to min_words times.
 
 Shards whose total size, as measured, is below ``BROADCAST_BYTES`` are
 broadcast.  Beyond that, shards and regions are joined on the owner instead, so
@@ -29,7 +30,7 @@ Defined cases: null texts, and rows with a null doc_id, pass unchanged and are n
 reference.  Texts of fewer than min_words words pass unchanged.  Rows that
 repeat a doc_id are one document of several texts and never match each other.
 A text removed as a whole becomes the empty text, the row stays.  A removed span takes the white space
-after it along.  Ties between owners go to the smaller position.  All other
+after it along.  Ties between places in an owner go to the smaller position.  All other
 columns pass through, whatever they are called.
 """
 
@@ -80,16 +81,79 @@ def _anchor_rows(docs: DataFrame, min_words: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, doc_id long, pos int")
 
 
-def _merged(starts: list[int], length: int, around: int, n: int) -> list[tuple[int, int]]:
-    """Union of the ranges that reach ``around`` words before and after [start, start + length), within n."""
-    out: list[list[int]] = []
-    for p in sorted(starts):
-        a, b = max(0, p - around), min(n, p + length + around)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def _window_rows(docs: DataFrame, min_words: int, k: int) -> DataFrame:
+    """window, doc_id, pos: the runs of min_words words that contain one of the anchors at the positions ``at``."""
+
+    def run(batches):
+        for b in batches:
+            data, off = tk.utf8(b.column("text"))
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            place = b.column("at").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(b.column("at")).to_numpy(zero_copy_only=False))])
+            for i, j in tk.runs(off):
+                s, _, h = tk.words(data[off[i] : off[j]], off[i : j + 1] - off[i], raw=True)
+                row = tk.rows_of(s, off[i : j + 1] - off[i])
+                g = tk.grams(h, min_words)
+                if not len(g):
+                    continue
+                first = np.searchsorted(row, np.arange(j - i + 1))
+                r, p = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1])), place[ends[i] : ends[j]]
+                # a repeated doc_id has several texts: positions beyond this one's words belong to another
+                inside = p + k <= first[r + 1] - first[r]
+                r, p = r[inside], p[inside]
+                near = tk.counts(np.maximum(p + k - min_words, 0) + first[r], len(h) + 1) - tk.counts(p + first[r] + 1, len(h) + 1)
+                at = np.flatnonzero((np.cumsum(near)[: len(g)] > 0) & (row[: len(g)] == row[min_words - 1 :]))
+                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(ids[i + row[at]]), pa.array((at - first[row[at]]).astype(np.int32))], ["window", "doc_id", "pos"])
+
+    return docs.mapInArrow(run, "window long, doc_id long, pos int")
+
+
+def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+
+
+def _owners(batches):
+    """Windows in order of (window, doc_id, pos) -> doc_id, owner, pos of each hit, and of the owner's first place (owner is doc_id)."""
+    last, owner0, pos0, hit0 = None, 0, 0, False
+    for b in batches:
+        w, d, p = _columns(b, "window", "doc_id", "pos")
+        if not len(w):
+            continue
+        new = np.concatenate([[last is None or w[0] != last], w[1:] != w[:-1]])
+        group = np.cumsum(new)
+        owner = np.concatenate([[owner0], d[new]])[group]
+        place = np.concatenate([[pos0], p[new]])[group]
+        hit = d != owner
+        first = hit & ~np.concatenate([[hit0 and not new[0]], hit[:-1]])
+        last, owner0, pos0, hit0 = w[-1], owner[-1], place[-1], hit[-1]
+        out = [np.concatenate(x) for x in ((d[hit], owner[first]), (owner[hit], owner[first]), (p[hit], place[first]))]
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2].astype(np.int32))], ["doc_id", "owner", "pos"])
+
+
+def _ranges(batches, min_words):
+    """Windows in order of (doc_id, owner, pos) -> doc_id, owner, start, stop of the words they cover without a gap."""
+    open_ = None
+    for b in batches:
+        d, o, p = _columns(b, "doc_id", "owner", "pos")
+        if not len(d):
+            continue
+        new = np.concatenate([[True], (d[1:] != d[:-1]) | (o[1:] != o[:-1]) | (p[1:] > p[:-1] + min_words)])
+        at = np.flatnonzero(new)
+        rows = [list(x) for x in zip(d[at].tolist(), o[at].tolist(), p[at].tolist(), (p[np.append(at[1:], len(p)) - 1] + min_words).tolist(), strict=True)]
+        if open_ is not None:
+            if open_[:2] == rows[0][:2] and rows[0][2] <= open_[3]:
+                rows[0][2] = open_[2]
+            else:
+                rows.insert(0, open_)
+        open_ = rows.pop()
+        yield _range_batch(rows)
+    if open_ is not None:
+        yield _range_batch([open_])
+
+
+def _range_batch(rows) -> pa.RecordBatch:
+    kinds = {"doc_id": pa.int64(), "owner": pa.int64(), "start": pa.int32(), "stop": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
 
 
 class SuffixAutomaton:
@@ -178,25 +242,25 @@ def _word_bounds(text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
     return s, e, raw
 
 
-def _pieces(batches, min_words, k):
-    """Rows of a document with its own and hit anchors -> its shard (doc_id null) and its regions by owner."""
+def _pieces(batches, min_words):
+    """Rows of a document with its ranges by owner -> its shard (doc_id null) and its regions by owner."""
     for b in batches:
         out = []
-        for doc, text, own, hits in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "own", "hits")), strict=True):
+        for doc, text, ranges in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "ranges")), strict=True):
             s, e, raw = _word_bounds(text)
-            n, by = len(s), {}
-
-            def words(a, z, s=s, e=e, raw=raw):
-                return b" ".join([raw[x:y] for x, y in zip(s[a:z].tolist(), e[a:z].tolist(), strict=True)]).decode("utf-8", "surrogatepass")
-
-            if own:
+            own = []
+            for r in ranges:
                 # a repeated doc_id has several texts: positions beyond this one's words belong to another
-                shard = "\n".join(words(a, z) for a, z in _merged([p for p in own if p + k <= n], k, min_words, n))
-                out.append((doc, None, 0, shard))
-            for h in hits or []:
-                by.setdefault(h["owner"], []).append(h["pos"])
-            for owner, at in by.items():
-                out += [(owner, doc, a, words(a, z)) for a, z in _merged([p for p in at if p + k <= n], k, min_words, n)]
+                a, z = r["start"], min(r["stop"], len(s))
+                if z - a < min_words:
+                    continue
+                words = b" ".join([raw[x:y] for x, y in zip(s[a:z].tolist(), e[a:z].tolist(), strict=True)]).decode("utf-8", "surrogatepass")
+                if r["owner"] == doc:
+                    own.append(words)
+                else:
+                    out.append((r["owner"], doc, a, words))
+            if own:
+                out.append((doc, None, 0, "\n".join(own)))
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.string())],
             ["owner", "doc_id", "start", "words"],
@@ -209,23 +273,25 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
         raise ValueError("anchor must lie in 1..min_words")
     ws = Workspace(spark, "substring")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    found = _anchor_rows(texts, min_words, anchor)
-    ws.table(found, "anchors")
-    found = spark.read.schema("anchor long, doc_id long, pos int").parquet(f"{ws.root}/anchors")
-    owners = found.groupBy("anchor").agg(F.min(F.struct("doc_id", "pos")).alias("own"), F.max("doc_id").alias("top")).where("own.doc_id < top").select("anchor", F.col("own.doc_id").alias("owner"), F.col("own.pos").alias("own_pos"))
-    owners = ws.table(owners, "owners")
-    hits = found.join(owners.select("anchor", "owner"), "anchor").where("doc_id <> owner").select("doc_id", F.struct("owner", "pos").alias("hit"), F.lit(None).cast("int").alias("own"))
-    owned = owners.select(F.col("owner").alias("doc_id"), F.lit(None).cast("struct<owner:bigint,pos:int>").alias("hit"), F.col("own_pos").alias("own"))
-    marks = hits.union(owned).groupBy("doc_id").agg(F.collect_set("hit").alias("hits"), F.collect_set("own").alias("own"))
-    marks = ws.table(marks, "marks")
+    found = ws.table(_anchor_rows(texts, min_words, anchor), "anchors")
+    several = found.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
+    several = ws.table(several, "several")
+    at = found.join(several, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
+    at = ws.table(at, "at")
     ws.drop("anchors")
+    wanted = texts.join(small(at.select("doc_id"), 16), "doc_id", "left_semi")
+    windows = _window_rows(wanted.join(at, "doc_id").select("doc_id", "text", "at"), min_words, anchor)
+    held = windows.repartition("window").sortWithinPartitions("window", "doc_id", "pos").mapInArrow(_owners, "doc_id long, owner long, pos int")
+    ranges = held.repartition("doc_id").sortWithinPartitions("doc_id", "owner", "pos").mapInArrow(lambda b: _ranges(b, min_words), "doc_id long, owner long, start int, stop int")
+    marks = ws.table(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("owner", "start", "stop")).alias("ranges")), "marks")
+    ws.drop("at")
     wanted = texts.join(small(marks.select("doc_id"), 16), "doc_id", "left_semi")
-    pieces = wanted.join(marks, "doc_id").select("doc_id", "text", "own", "hits").mapInArrow(lambda b: _pieces(b, min_words, anchor), "owner long, doc_id long, start int, words string")
+    pieces = wanted.join(marks, "doc_id").select("doc_id", "text", "ranges").mapInArrow(lambda b: _pieces(b, min_words), "owner long, doc_id long, start int, words string")
     pieces = ws.table(pieces, "pieces")
-    shards = pieces.where("doc_id is null and words <> ''").groupBy("owner").agg(F.array_join(F.array_sort(F.collect_set("words")), "\n").alias("shard"))
+    shards = pieces.where("doc_id is null").groupBy("owner").agg(F.array_join(F.array_sort(F.collect_set("words")), "\n").alias("shard"))
     shards = ws.table(shards, "shards")
     size = shards.agg(F.sum(F.octet_length("shard") + 32)).first()[0] or 0
-    regions = pieces.where("doc_id is not null and words <> ''").select("owner", "doc_id", "start", "words")
+    regions = pieces.where("doc_id is not null").select("owner", "doc_id", "start", "words")
     joined = regions.join(F.broadcast(shards) if size <= BROADCAST_BYTES else shards, "owner")
 
     def match(batches):

@@ -62,6 +62,44 @@ def test_finds_what_brute_force_finds(spark, make, seed):
         assert m <= want[i], "nothing else is taken"
 
 
+def covered(spans):
+    got = {}
+    for r in spans.collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.stop))
+    return got
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_finds_all_that_brute_force_finds(spark, make, seed):
+    docs = planted(seed)
+    assert covered(sd.repeated_spans(spark, make(docs), 8, 5)) == {i: m for i, m in brute(docs, 8).items() if m}
+
+
+def truncated(rng, cases=30, length=55, piece=49, copies=5):
+    """Passages that an earlier document holds only a piece of."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    fill = lambda: [word() for _ in range(rng.randrange(0, 30))]
+    docs = []
+    for _ in range(cases):
+        p = [word() for _ in range(length)]
+        a = rng.randrange(0, length - piece + 1)
+        for part in [p[a : a + piece], *[p] * copies]:
+            docs.append((len(docs), " ".join(fill() + part + fill())))
+    return docs
+
+
+def excerpts(rng, n=60):
+    """Documents that each hold another excerpt of one long passage."""
+    p = [f"{rng.randrange(10**6)}" for _ in range(400)]
+    cut = lambda: (lambda a: p[a : a + rng.randrange(32, 120)])(rng.randrange(0, 380))
+    return [(i, " ".join([f"h{i}", *cut(), f"m{i}", *cut()])) for i in range(n)]
+
+
+@pytest.mark.parametrize("docs", [truncated(random.Random(1)), truncated(random.Random(2), length=60, piece=40), excerpts(random.Random(3))], ids=["first 49 of 55", "40 of 60", "excerpts"])
+def test_holders_of_shorter_pieces(spark, make, docs):
+    assert covered(sd.repeated_spans(spark, make(docs))) == {i: m for i, m in brute(docs, 50).items() if m}
+
+
 @pytest.mark.parametrize("limit", [0, 1 << 30])
 def test_join_equals_broadcast(spark, make, monkeypatch, limit):
     docs = planted(7)
