@@ -1,8 +1,9 @@
 """Licence scan: sparse TF-IDF cosines to templates, then inheritance from directories.
 
-Terms are the words of the templates.  Their document frequencies are counted
-over all documents; idf = ln((1 + N) / (1 + df)) + 1.  Other words weigh as terms of df 1, each occurrence as a term of its
-own, so they only lengthen a vector.  Each line of a text (a header's notice) is
+Terms are all words.  Document frequencies are counted over all documents;
+idf = ln((1 + N) / (1 + df)) + 1.  The words of the templates are counted first: with other words at the least
+idf, 1, they bound a line's cosine from above, and only for lines that can reach
+the threshold are the other words counted and joined.  Each line of a text (a header's notice) is
 compared with each template; of a licence file (by its name) the whole text as
 well.  The best cosine of ``THRESHOLD`` or more is the file's own licence; ties go to the
 template first in order of name.
@@ -20,16 +21,15 @@ each get a row.  An empty table gives an empty result.  Columns other than the t
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textkit as tk
 from corpusloom.llm.quality import _LINE
-from corpusloom.llm.work import Workspace
+from corpusloom.llm.work import Workspace, small
 
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "AGPL-3.0": ("licensed under the GNU Affero General Public License version 3", "SPDX-License-Identifier: AGPL-3.0-only"),
@@ -85,62 +85,112 @@ def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     return int(df[-1]), df[:-1]
 
 
-def weights(n: int, df: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    """idf of the terms, idf of other words, and unit template vectors (terms x templates)."""
+def weights(n: int, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """idf of the terms, and unit template vectors (terms x templates)."""
     idf = np.log((1 + n) / (1 + df)) + 1
     t = np.zeros((len(TERMS), len(_LISTS)))
     for k, words in enumerate(_LISTS):
         np.add.at(t[:, k], np.searchsorted(TERMS, words), 1)
     t *= idf[:, None]
-    return idf, math.log((1 + n) / 2) + 1, t / np.sqrt((t**2).sum(0))
+    return idf, t / np.sqrt((t**2).sum(0))
 
 
-def _cosines(unit: np.ndarray, h: np.ndarray, n: int, idf, other, templates) -> np.ndarray:
-    """Cosines (n x templates) of n vectors; unit tells the vector of each word hash."""
+def _parts(unit: np.ndarray, h: np.ndarray, n: int, idf, templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of n vectors: products with the templates (n x templates), squared length by the terms, and which words aren't terms; unit tells the vector of each word hash."""
     at = np.minimum(np.searchsorted(TERMS, h), len(TERMS) - 1)
     hit = TERMS[at] == h
-    outside = tk.counts(unit[~hit], n)
     key, tf = np.unique(unit[hit] * len(TERMS) + at[hit], return_counts=True)
     u, t = key // len(TERMS), key % len(TERMS)
     w = tf * idf[t]
-    norm = np.sqrt(np.bincount(u, w * w, n) + outside * other**2)
     out = np.stack([np.bincount(u, w * templates[t, k], n) for k in range(templates.shape[1])], 1) if n else np.zeros((0, templates.shape[1]))
-    return out / np.maximum(norm, 1e-12)[:, None]
+    return out, np.bincount(u, w * w, n), ~hit
 
 
-def own_licences(docs: DataFrame, n: int, df: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, path, is_file, licence, cosine (both null below the threshold)."""
-    idf, other, templates = weights(n, df)
+def _possible(unit: np.ndarray, h: np.ndarray, n: int, idf, templates, threshold: float):
+    """(vector, record of LINES) of each vector that can reach the threshold."""
+    product, inner, outside = _parts(unit, h, n, idf, templates)
+    least = np.sqrt(inner + tk.counts(unit[outside], n))  # no idf is below 1
+    top = np.argmax(np.round(product / np.maximum(np.sqrt(inner), 1e-12)[:, None], 9), 1)
+    best = product[np.arange(n), top]
+    can = (best > 0) & (best >= (threshold - 1e-8) * least)
+    some = outside & can[unit]
+    u, w = unit[some], h[some]
+    order = np.argsort(u, kind="stable")
+    u, w = u[order], w[order]
+    for c in np.flatnonzero(can).tolist():
+        a, z = np.searchsorted(u, (c, c + 1))
+        words, tf = np.unique(w[a:z], return_counts=True)
+        yield c, {"product": float(best[c]), "inner": float(inner[c]), "top": int(top[c]), "others": [{"word": x, "tf": y} for x, y in zip(words.view(np.int64).tolist(), tf.tolist(), strict=True)]}
+
+
+LINES = "array<struct<product:double,inner:double,top:int,others:array<struct<word:bigint,tf:int>>>>"
+_LINES = pa.list_(pa.struct({"product": pa.float64(), "inner": pa.float64(), "top": pa.int32(), "others": pa.list_(pa.struct({"word": pa.int64(), "tf": pa.int32()}))}))
+
+
+def possible_lines(docs: DataFrame, n: int, df: np.ndarray, threshold: float) -> DataFrame:
+    """row, doc_id, path, is_file, lines that can reach the threshold; row numbers the rows of a run of this plan."""
+    idf, templates = weights(n, df)
 
     def run(batches):
+        number = TaskContext.get().partitionId() << 33
         for b in batches:
             data, off = tk.utf8(b.column("text"))
             whole = np.array(b.column("is_file").to_pylist(), bool)
-            best, which = np.zeros(len(b)), np.zeros(len(b), np.int64)
+            lines = [[] for _ in range(len(b))]
             for i, j in tk.runs(off):
                 d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 s, _, h = tk.words(d, o)
                 if not len(s):
                     continue
                 ls, _ = tk.spans(_LINE[d], o)
-                line = np.searchsorted(ls, s, "right") - 1
-                c = _cosines(line, h, len(ls), idf, other, templates)
                 rows = tk.rows_of(ls, o)
+                for c, x in _possible(np.searchsorted(ls, s, "right") - 1, h, len(ls), idf, templates, threshold):
+                    lines[i + rows[c]].append(x)
                 if whole[i:j].any():
                     row = tk.rows_of(s, o)
                     keep = whole[i:j][row]
-                    c = np.concatenate([c, _cosines(row[keep], h[keep], j - i, idf, other, templates)])
-                    rows = np.concatenate([rows, np.arange(j - i)])
-                c = np.round(c, 9)
-                top = np.argmax(c, 1)
-                value = c[np.arange(len(c)), top]
-                order = np.lexsort((top, -value, rows))
-                first = order[np.unique(rows[order], return_index=True)[1]]
-                best[i + rows[first]], which[i + rows[first]] = value[first], top[first]
-            ok = best >= threshold
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("path"), b.column("is_file"), pa.array([NAMES[k] if y else None for k, y in zip(which, ok, strict=True)], pa.string()), pa.array(best, mask=~ok)], ["doc_id", "path", "is_file", "licence", "cosine"])
-
-    return docs.mapInArrow(run, "doc_id long, path string, is_file boolean, licence string, cosine double")
+                    for c, x in _possible(row[keep], h[keep], j - i, idf, templates, threshold):
+                        lines[i + c].append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + len(b))), b.column("doc_id"), b.column("path"), b.column("is_file"), pa.array(lines, _LINES)], ["row", "doc_id", "path", "is_file", "lines"])
+            number += len(b)
+
+    return docs.mapInArrow(run, f"row long, doc_id long, path string, is_file boolean, lines {LINES}")
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, n: partial counts of the texts that hold a word."""
+
+    def run(batches):
+        for b in batches:
+            data, off = tk.utf8(b.column(0))
+            for i, j in tk.runs(off):
+                o = off[i : j + 1] - off[i]
+                s, _, h = tk.words(data[off[i] : off[j]], o)
+                row, order = tk.rows_of(s, o), np.argsort(h, kind="stable")  # rows stay in order within a word
+                h, row = h[order], row[order]
+                once = np.ones(len(h), bool)
+                once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                words, n = np.unique(h[once], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, n long")
+
+
+def own_licences(docs: DataFrame, n: int, df: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, path, is_file, licence, cosine (both null below the threshold)."""
+    ws = Workspace(docs.sparkSession, "licence-lines")
+    found = ws.table(possible_lines(docs, n, df, threshold), "found")  # it has no texts
+    lines = found.select("row", F.posexplode("lines").alias("line", "x")).select("row", "line", "x.product", "x.inner", "x.top", "x.others")
+    others = lines.select("row", "line", F.inline("others"))
+    asked = ws.table(others.select("word").distinct(), "asked")
+    counted = word_counts(docs).join(small(asked, 16), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"))
+    weight = F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("n"))) + 1)
+    outer = others.join(ws.table(counted, "counted"), "word").groupBy("row", "line").agg(F.sum(weight * weight).alias("outer"))
+    cosine = F.round(F.col("product") / F.sqrt(F.col("inner") + F.coalesce("outer", F.lit(0.0))), 9)
+    best = lines.drop("others").join(outer, ["row", "line"], "left").select("row", cosine.alias("cosine"), "top").where(F.col("cosine") >= threshold)
+    best = best.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "top")).alias("b"))
+    name = F.element_at(F.array(*map(F.lit, NAMES)), F.col("b.top") + 1)
+    return found.drop("lines").join(best, "row", "left").select("doc_id", "path", "is_file", F.when(F.col("b").isNotNull(), name).alias("licence"), (-F.col("b.c")).alias("cosine"))
 
 
 def scan(docs: DataFrame, path: str = "path", threshold: float = THRESHOLD) -> DataFrame:

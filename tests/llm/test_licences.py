@@ -102,3 +102,20 @@ def test_the_documents(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def whole_cosine(line, template, texts):
+    """TF-IDF cosine with the true frequency of every word."""
+    n, df = len(texts), Counter(w for t in texts for w in set(terms(t)))
+    a, b = ({w: c * (math.log((1 + n) / (1 + df[w])) + 1) for w, c in Counter(terms(t)).items()} for t in (line, template))
+    return sum(x * b.get(w, 0) for w, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+
+def test_same_licence_at_every_size(spark):
+    line = "It is released under the MIT License for all."
+    for n in (200, 3000):
+        texts = [line if i % 50 == 0 else f"it is for all of the things under word{i}" for i in range(n)]
+        want = max(whole_cosine(line, t, texts) for t in lc.TEMPLATES["MIT"])
+        got = [r for r in run(spark, [(i, t, None) for i, t in enumerate(texts)]) if r[2]]
+        assert [(r[0], r[2]) for r in got] == [(i, "MIT") for i in sorted(range(0, n, 50), key=lambda i: repr((i,)))]
+        assert want > 0.8 and all(abs(r[3] - want) < 2e-6 for r in got)
