@@ -291,6 +291,13 @@ def minhash_signature(spark, table):
     return table("documents").select("doc_id", s(_t()).alias("s")).select("doc_id", *[F.col("s.minhash")[i].alias(f"m{i}") for i in range(4)])
 
 
+@query()
+def minhash_full_signature(spark, table):
+    """All 128 values; minhash_signature has the prefix that SQL can give."""
+    s = signals.text_signals(repetition=False, sim=False)
+    return table("documents").select("doc_id", s(_t()).alias("s")).select("doc_id", F.col("s.minhash").alias("minhash"))
+
+
 @query()
 def simhash_window_dups(spark, table):
     return dedup.simhash_window(spark, dedup.sketches(table("documents"), min_hash=False))

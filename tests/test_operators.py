@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import signals
 from corpusloom.operators import dedup, records, screen, stats
+from corpusloom.plans import catalog
 from corpusloom.workspace import Tables, numbered
 
 
@@ -169,3 +170,13 @@ def test_top_families(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(10)] + [(20, 99)], "doc_id long, dup_family_id long")
     got = [(r.dup_family_id, r["count"], r.examples) for r in dedup.top_families(df, top=2).collect()]
     assert got == [(0, 4, [0, 3, 6]), (1, 3, [1, 4, 7])]
+
+
+def test_full_minhash_signature_equals_brute_force(spark, tmp_path):
+    texts = {1: "the quick brown fox jumps over the lazy dog " * 3, 2: "", 3: None, 4: "short", 5: "Ünïcode words, and more of them"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.minhash for r in catalog.QUERIES["minhash_full_signature"](spark, str(tmp_path)).collect()}
+    assert got.pop(3) is None  # a null text has no signature
+    for i in got:
+        h = [int(x) for x in signals.shingle_hashes(texts[i])]
+        assert got[i] == [min(((int(a) * x + int(b)) % signals.PRIME for x in h), default=signals.PRIME) for a, b in signals.coefficients(128)]
