@@ -17,27 +17,29 @@ document keeps it.
    owner; matching statistics give, at each word, the longest match that ends
    there, and the maximal matches of min_words words or more are removed.
 
+A row is known by its doc_id and the hash of its text, so what is cut from one row
+never touches another row that repeats the id.
+
 Every window has an owner of its own, so what goes is exactly what an earlier
 document holds in runs of min_words words, also where an earlier document holds
 a shorter piece of a passage.  A region is cut by owners, so where the owner
 changes from word to word, a word is read up to min_words times.
 
 Shards whose total size, as measured, is below ``BROADCAST_BYTES`` are
-broadcast.  Beyond that, shards and regions are joined on the owner instead, so
-each task only holds the automata of its own shards whatever the corpus holds.
+broadcast.  Beyond that, shards and regions are sent to tasks by owner, with a salt for each
+``REGIONS`` regions of an owner, and streamed in order with a shard ahead of its
+regions.  In both forms a task meets an owner's regions in a row and holds one automaton at a time.
 
 Defined cases: null texts, and rows with a null doc_id, pass unchanged and are no
 reference.  Texts of fewer than min_words words pass unchanged.  Rows that
-repeat a doc_id are one document of several texts and never match each other.
+repeat a doc_id never match each other, but each is compared with smaller ids by its own text.
 A text removed as a whole becomes the empty text, the row stays.  A removed span takes the white space
-after it along.  Ties between places in an owner go to the smaller position.  All other
-columns pass through, whatever they are called.
+after it along.  Ties between places in an owner go to the smaller text hash and position.  All other
+columns pass through, whatever they are called; ``count`` must name a new one.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -49,6 +51,8 @@ from corpusloom.llm.work import BROADCAST_BYTES, Workspace, fresh, small
 
 MIN_WORDS = 50
 ANCHOR = 32
+#: Regions of one owner that share a copy of its shard where shards are too large to broadcast.
+REGIONS = 2000
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -82,12 +86,12 @@ def _anchor_rows(docs: DataFrame, min_words: int, k: int) -> DataFrame:
 
 
 def _window_rows(docs: DataFrame, min_words: int, k: int) -> DataFrame:
-    """window, doc_id, pos: the runs of min_words words that contain one of the anchors at the positions ``at``."""
+    """window, doc_id, tid, pos: the runs of min_words words that contain one of the anchors at the positions ``at``."""
 
     def run(batches):
         for b in batches:
             data, off = tk.utf8(b.column("text"))
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, tids = _columns(b, "doc_id", "tid")
             place = b.column("at").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(b.column("at")).to_numpy(zero_copy_only=False))])
             for i, j in tk.runs(off):
@@ -98,51 +102,54 @@ def _window_rows(docs: DataFrame, min_words: int, k: int) -> DataFrame:
                     continue
                 first = np.searchsorted(row, np.arange(j - i + 1))
                 r, p = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1])), place[ends[i] : ends[j]]
-                # a repeated doc_id has several texts: positions beyond this one's words belong to another
+                # anchors are known by doc_id: where that repeats, positions beyond this text's words are another's
                 inside = p + k <= first[r + 1] - first[r]
                 r, p = r[inside], p[inside]
                 near = tk.counts(np.maximum(p + k - min_words, 0) + first[r], len(h) + 1) - tk.counts(p + first[r] + 1, len(h) + 1)
                 at = np.flatnonzero((np.cumsum(near)[: len(g)] > 0) & (row[: len(g)] == row[min_words - 1 :]))
-                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(ids[i + row[at]]), pa.array((at - first[row[at]]).astype(np.int32))], ["window", "doc_id", "pos"])
+                r = row[at]
+                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(ids[i + r]), pa.array(tids[i + r]), pa.array((at - first[r]).astype(np.int32))], ["window", "doc_id", "tid", "pos"])
 
-    return docs.mapInArrow(run, "window long, doc_id long, pos int")
+    return docs.mapInArrow(run, "window long, doc_id long, tid long, pos int")
 
 
 def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [b.column(c).to_numpy(zero_copy_only=False) for c in names]
 
 
+HITS = "doc_id long, tid long, owner long, otid long, pos int"
+
+
 def _owners(batches):
-    """Windows in order of (window, doc_id, pos) -> doc_id, owner, pos of each hit, and of the owner's first place (owner is doc_id)."""
-    last, owner0, pos0, hit0 = None, 0, 0, False
+    """Windows in order of (window, doc_id, tid, pos) -> HITS: of each later holder, and of the owner's first place (as its own owner)."""
+    last, held, hit0 = None, (0, 0, 0), False
     for b in batches:
-        w, d, p = _columns(b, "window", "doc_id", "pos")
+        w, d, t, p = _columns(b, "window", "doc_id", "tid", "pos")
         if not len(w):
             continue
         new = np.concatenate([[last is None or w[0] != last], w[1:] != w[:-1]])
         group = np.cumsum(new)
-        owner = np.concatenate([[owner0], d[new]])[group]
-        place = np.concatenate([[pos0], p[new]])[group]
+        owner, otid, place = (np.concatenate([[h], x[new]])[group] for h, x in zip(held, (d, t, p), strict=True))
         hit = d != owner
         first = hit & ~np.concatenate([[hit0 and not new[0]], hit[:-1]])
-        last, owner0, pos0, hit0 = w[-1], owner[-1], place[-1], hit[-1]
-        out = [np.concatenate(x) for x in ((d[hit], owner[first]), (owner[hit], owner[first]), (p[hit], place[first]))]
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2].astype(np.int32))], ["doc_id", "owner", "pos"])
+        last, held, hit0 = w[-1], (owner[-1], otid[-1], place[-1]), hit[-1]
+        out = [np.concatenate(x) for x in ((d[hit], owner[first]), (t[hit], otid[first]), (owner[hit], owner[first]), (otid[hit], otid[first]), (p[hit], place[first]))]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4].astype(np.int32))], ["doc_id", "tid", "owner", "otid", "pos"])
 
 
 def _ranges(batches, min_words):
-    """Windows in order of (doc_id, owner, pos) -> doc_id, owner, start, stop of the words they cover without a gap."""
+    """HITS in order of their columns -> doc_id, tid, owner, otid, start, stop of the words that windows cover without a gap."""
     open_ = None
     for b in batches:
-        d, o, p = _columns(b, "doc_id", "owner", "pos")
-        if not len(d):
+        *keys, p = _columns(b, "doc_id", "tid", "owner", "otid", "pos")
+        if not len(p):
             continue
-        new = np.concatenate([[True], (d[1:] != d[:-1]) | (o[1:] != o[:-1]) | (p[1:] > p[:-1] + min_words)])
+        new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0) | (p[1:] > p[:-1] + min_words)])
         at = np.flatnonzero(new)
-        rows = [list(x) for x in zip(d[at].tolist(), o[at].tolist(), p[at].tolist(), (p[np.append(at[1:], len(p)) - 1] + min_words).tolist(), strict=True)]
+        rows = [list(x) for x in zip(*(k[at].tolist() for k in keys), p[at].tolist(), (p[np.append(at[1:], len(p)) - 1] + min_words).tolist(), strict=True)]
         if open_ is not None:
-            if open_[:2] == rows[0][:2] and rows[0][2] <= open_[3]:
-                rows[0][2] = open_[2]
+            if open_[:4] == rows[0][:4] and rows[0][4] <= open_[5]:
+                rows[0][4] = open_[4]
             else:
                 rows.insert(0, open_)
         open_ = rows.pop()
@@ -152,7 +159,7 @@ def _ranges(batches, min_words):
 
 
 def _range_batch(rows) -> pa.RecordBatch:
-    kinds = {"doc_id": pa.int64(), "owner": pa.int64(), "start": pa.int32(), "stop": pa.int32()}
+    kinds = {"doc_id": pa.int64(), "tid": pa.int64(), "owner": pa.int64(), "otid": pa.int64(), "start": pa.int32(), "stop": pa.int32()}
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
 
 
@@ -226,8 +233,7 @@ class SuffixAutomaton:
         return [(a, b) for a, b in out]
 
 
-@lru_cache(32)
-def _automaton(passages: str) -> SuffixAutomaton:
+def automaton(passages: str) -> SuffixAutomaton:
     """Of a shard: passages end at line feeds, words at spaces."""
     made = SuffixAutomaton()
     for p in passages.split("\n"):
@@ -242,37 +248,56 @@ def _word_bounds(text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
     return s, e, raw
 
 
+PIECES = "owner long, otid long, doc_id long, tid long, start int, words string"
+
+
 def _pieces(batches, min_words):
     """Rows of a document with its ranges by owner -> its shard (doc_id null) and its regions by owner."""
     for b in batches:
         out = []
-        for doc, text, ranges in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "ranges")), strict=True):
+        for doc, tid, text, ranges in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tid", "text", "ranges")), strict=True):
             s, e, raw = _word_bounds(text)
             own = []
-            for r in ranges:
-                # a repeated doc_id has several texts: positions beyond this one's words belong to another
-                a, z = r["start"], min(r["stop"], len(s))
-                if z - a < min_words:
-                    continue
+            for r in sorted(ranges, key=lambda r: (r["start"], r["stop"])):
+                a, z = r["start"], r["stop"]
                 words = b" ".join([raw[x:y] for x, y in zip(s[a:z].tolist(), e[a:z].tolist(), strict=True)]).decode("utf-8", "surrogatepass")
-                if r["owner"] == doc:
+                if (r["owner"], r["otid"]) == (doc, tid):
                     own.append(words)
                 else:
-                    out.append((r["owner"], doc, a, words))
+                    out.append((r["owner"], r["otid"], doc, tid, a, words))
             if own:
-                out.append((doc, None, 0, "\n".join(own)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.string())],
-            ["owner", "doc_id", "start", "words"],
-        )
+                out.append((doc, tid, None, None, 0, "\n".join(own)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((*[pa.int64()] * 4, pa.int32(), pa.string()))], ["owner", "otid", "doc_id", "tid", "start", "words"])
+
+
+SPANS = "doc_id long, tid long, start int, stop int"
+
+
+def _match(batches, min_words):
+    """Regions in order of their owner, each with the shard or after it (a row without doc_id) -> SPANS."""
+    shard, made = None, None
+    for b in batches:
+        out = []
+        for doc, tid, start, text, own in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tid", "start", "words", "shard")), strict=True):
+            if own is not None and own != shard:
+                shard, made = own, automaton(own)
+            if doc is not None:
+                out += [(doc, tid, start + a, start + z) for a, z in made.spans(text.split(" "), min_words)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "tid", "start", "stop"])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, tid (hash of the text), text of the rows that take part."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text")).where("doc_id is not null and text is not null")
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, start, stop: ranges of words that repeat a passage of an earlier document, as maximal matches."""
+    """SPANS: ranges of words that repeat a passage of an earlier document, as maximal matches.  tid is xxhash64 of the row's text."""
     if not 1 <= anchor <= min_words:
         raise ValueError("anchor must lie in 1..min_words")
     ws = Workspace(spark, "substring")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    texts = keyed(docs)
     found = ws.table(_anchor_rows(texts, min_words, anchor), "anchors")
     several = found.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
     several = ws.table(several, "several")
@@ -280,29 +305,28 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
     at = ws.table(at, "at")
     ws.drop("anchors")
     wanted = texts.join(small(at.select("doc_id"), 16), "doc_id", "left_semi")
-    windows = _window_rows(wanted.join(at, "doc_id").select("doc_id", "text", "at"), min_words, anchor)
-    held = windows.repartition("window").sortWithinPartitions("window", "doc_id", "pos").mapInArrow(_owners, "doc_id long, owner long, pos int")
-    ranges = held.repartition("doc_id").sortWithinPartitions("doc_id", "owner", "pos").mapInArrow(lambda b: _ranges(b, min_words), "doc_id long, owner long, start int, stop int")
-    marks = ws.table(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("owner", "start", "stop")).alias("ranges")), "marks")
+    windows = _window_rows(wanted.join(at, "doc_id").select("doc_id", "tid", "text", "at"), min_words, anchor)
+    held = windows.repartition("window").sortWithinPartitions("window", "doc_id", "tid", "pos").mapInArrow(_owners, HITS)
+    ranges = held.repartition("doc_id", "tid").sortWithinPartitions("doc_id", "tid", "owner", "otid", "pos").mapInArrow(lambda b: _ranges(b, min_words), "doc_id long, tid long, owner long, otid long, start int, stop int")
+    marks = ws.table(ranges.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("owner", "otid", "start", "stop")).alias("ranges")), "marks")
     ws.drop("at")
-    wanted = texts.join(small(marks.select("doc_id"), 16), "doc_id", "left_semi")
-    pieces = wanted.join(marks, "doc_id").select("doc_id", "text", "ranges").mapInArrow(lambda b: _pieces(b, min_words), "owner long, doc_id long, start int, words string")
+    wanted = texts.join(small(marks.select("doc_id", "tid"), 24), ["doc_id", "tid"], "left_semi")
+    pieces = wanted.join(marks, ["doc_id", "tid"]).select("doc_id", "tid", "text", "ranges").mapInArrow(lambda b: _pieces(b, min_words), PIECES)
     pieces = ws.table(pieces, "pieces")
-    shards = pieces.where("doc_id is null").groupBy("owner").agg(F.array_join(F.array_sort(F.collect_set("words")), "\n").alias("shard"))
+    shards = pieces.where("doc_id is null").select("owner", "otid", F.col("words").alias("shard")).dropDuplicates(["owner", "otid"])  # a row may be repeated
     shards = ws.table(shards, "shards")
     size = shards.agg(F.sum(F.octet_length("shard") + 32)).first()[0] or 0
-    regions = pieces.where("doc_id is not null").select("owner", "doc_id", "start", "words")
-    joined = regions.join(F.broadcast(shards) if size <= BROADCAST_BYTES else shards, "owner")
-
-    def match(batches):
-        for b in batches:
-            out = []
-            for doc, start, text, shard in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "words", "shard")), strict=True):
-                out += [(doc, start + a, start + z) for a, z in _automaton(shard).spans(text.split(" "), min_words)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32())], ["doc_id", "start", "stop"])
-        _automaton.cache_clear()  # workers live on after the task
-
-    return joined.select("doc_id", "start", "words", "shard").mapInArrow(match, "doc_id long, start int, stop int")
+    regions = pieces.where("doc_id is not null")
+    columns = ["doc_id", "tid", "start", "words", "shard"]
+    if size <= BROADCAST_BYTES:
+        stream = regions.sortWithinPartitions("owner", "otid").join(F.broadcast(shards), ["owner", "otid"]).select(*columns)
+    else:
+        salts = ws.table(regions.groupBy("owner", "otid").agg(F.ceil(F.count("*") / REGIONS).cast("int").alias("salts")), "salts")
+        heads = shards.join(salts, ["owner", "otid"]).select("owner", "otid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("tid", "long"), ("start", "int"), ("words", "string"))], "shard")
+        rest = regions.join(salts, ["owner", "otid"]).select("owner", "otid", F.pmod(F.xxhash64("doc_id", "tid", "start"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "tid", "start", "words", F.lit(None).cast("string").alias("shard"))
+        key = ["owner", "otid", "salt"]
+        stream = heads.unionByName(rest).repartition(*key).sortWithinPartitions(*key, "kind").select(*columns)
+    return stream.mapInArrow(lambda b: _match(b, min_words), SPANS)
 
 
 def cut(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int]:
@@ -325,13 +349,16 @@ def cut(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int]:
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR, count: str | None = None) -> DataFrame:
     """docs with repeated passages cut from text; ``count`` names a new column for the words removed.  An integer column n_chars follows the text."""
+    if count is not None and count.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {count} already")
     ws = Workspace(spark, "substring-cut")
-    key, ranges = fresh(docs, "cut_id"), fresh(docs, "cut_ranges")
-    spans = repeated_spans(spark, docs, min_words, anchor).groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias(ranges))
+    key, tid, ranges = fresh(docs, "cut_id"), fresh(docs, "cut_tid"), fresh(docs, "cut_ranges")
+    spans = repeated_spans(spark, docs, min_words, anchor).groupBy(F.col("doc_id").alias(key), F.col("tid").alias(tid)).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias(ranges))
     spans = ws.table(spans, "spans")
     schema = docs.schema if count is None else docs.select("*", F.lit(0).cast("int").alias(count)).schema
-    size = spans.agg(F.sum(F.size(ranges) * 8 + 32)).first()[0] or 0
-    joined = docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, docs["doc_id"].cast("long") == F.col(key), "left").drop(key)
+    size = spans.agg(F.sum(F.size(ranges) * 8 + 40)).first()[0] or 0
+    same = (docs["doc_id"].cast("long") == F.col(key)) & (F.xxhash64(docs["text"].cast("string")) == F.col(tid))
+    joined = docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, same, "left").drop(key, tid)
     columns = docs.columns
     text_at, n_at = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else -1
 
