@@ -1,11 +1,16 @@
 """Quality rules: a conditional random field labels each line content or boilerplate.
 
 The field is trained on a bounded sample of documents that ``labels`` rates
-(``TRAIN_DOCS`` of them, in order of a hash of the id); each line of a sampled
-document carries the document's rating, and the field's regularisation absorbs
-the noise.  Decoding reads every line of every document in one Arrow pass; a
-document is kept if the share of its words in content lines reaches
-``min_share``.
+(``TRAIN_DOCS`` of them, in order of a hash of the id).  A rating is about a
+document, so its lines' labels are latent and found by hard expectation
+maximisation (``line_labels``): every line starts with its document's rating,
+the model is fitted to lines on their own, then lines are labelled anew by it, under the
+constraint that the labels bear out the rating (the share of words in content
+lines reaches ``min_share`` if, and only if, the document is rated good; otherwise its lines
+keep the rating).  The last rounds fit and decode whole sequences, so that transitions are learnt between
+lines of unlike labels.  Decoding reads every line of every document in one Arrow
+pass; a document is kept if the share of its words in content lines reaches
+``min_share``; a share equal to it is enough.
 
 Defined cases: a null or blank text has no lines, share 0, and is rejected.
 Lines end at LF or CR; blank lines don't count.  Rows with a null doc_id or
@@ -29,6 +34,9 @@ TRAIN_DOCS = 2000
 #: Training sequences are cut to so many lines; decoding never cuts.
 TRAIN_LINES = 64
 MIN_SHARE = 0.5
+#: Rounds of labelling: of lines on their own, then of sequences.
+LINE_ROUNDS, SEQUENCE_ROUNDS = 2, 1
+L2 = 0.1
 FEATURES = 18
 
 _LINE = np.ones(256, bool)
@@ -88,25 +96,47 @@ def line_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     return row, n.astype(np.int64), x
 
 
+def decode(data: np.ndarray, off: np.ndarray, model: crf.Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each line that has a word: its row, its number of words, its label (1: content)."""
+    row, size, x = line_features(data, off)
+    score = (x.astype(np.float64) @ np.array(model.w)).tolist()
+    cut = [0, *(np.flatnonzero(np.diff(row)) + 1).tolist(), len(row)]
+    return row, size, np.array([v for a, b in zip(cut, cut[1:], strict=False) for v in crf.viterbi(score[a:b], model)], np.int64)
+
+
 def shares(texts: pa.Array, model: crf.Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: lines, content lines, share of the words in content lines."""
     data, off = tk.utf8(texts)
     n = len(off) - 1
     lines, content, share = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-    w = np.array(model.w)
     for i, j in tk.runs(off):
-        row, size, x = line_features(data[off[i] : off[j]], off[i : j + 1] - off[i])
-        if not len(row):
-            continue
-        score = (x.astype(np.float64) @ w).tolist()
-        cut = [0, *(np.flatnonzero(np.diff(row)) + 1).tolist(), len(row)]
-        y = np.array([v for a, b in zip(cut, cut[1:], strict=False) for v in crf.viterbi(score[a:b], model)], np.int64)
-        lines[i:j], content[i:j] = tk.counts(row, j - i), np.bincount(row, y, j - i)
-        share[i:j] = np.bincount(row, size * y, j - i) / np.maximum(1, np.bincount(row, size, j - i))
+        row, size, y = decode(data[off[i] : off[j]], off[i : j + 1] - off[i], model)
+        if len(row):
+            lines[i:j], content[i:j] = tk.counts(row, j - i), np.bincount(row, y, j - i)
+            share[i:j] = np.bincount(row, size * y, j - i) / np.maximum(1, np.bincount(row, size, j - i))
     return lines, content, share
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> crf.Model:
+def line_labels(documents: list[tuple[int, np.ndarray, np.ndarray]], min_share: float = MIN_SHARE) -> tuple[crf.Model, list[np.ndarray]]:
+    """The fitted field and the labels of each document's lines; documents are (rating, features, words of each line)."""
+    y = [np.full(len(n), int(q > 0)) for q, _, n in documents]
+
+    def fitted(length):
+        return crf.train([(x[i : i + length], v[i : i + length]) for (_, x, _), v in zip(documents, y, strict=True) for i in range(0, len(v), length)], FEATURES, L2)
+
+    for k in range(LINE_ROUNDS + SEQUENCE_ROUNDS):
+        model = fitted(1 if k < LINE_ROUNDS else TRAIN_LINES)
+        if not model.trained:
+            return model, y
+        w = np.array(model.w)
+        for i, (q, x, n) in enumerate(documents):
+            new = (x @ w + model.start >= 0).astype(int) if k < LINE_ROUNDS else np.array(crf.viterbi((x @ w).tolist(), model))
+            bears_out = len(n) and ((n * new).sum() >= min_share * n.sum()) == (q > 0)
+            y[i] = new if bears_out else np.full(len(n), int(q > 0))
+    return fitted(TRAIN_LINES), y
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, min_share: float = MIN_SHARE) -> crf.Model:
     """Fits the field on at most train_docs labelled documents (the documented bound)."""
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     rated = rated.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
@@ -116,20 +146,16 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> crf
     def features(batches):
         for b in batches:
             data, off = tk.utf8(b.column("text"))
-            out = [[] for _ in range(len(b))]
+            out, words = [np.zeros(0, np.float32)] * len(b), [np.zeros(0, np.int64)] * len(b)
             for i, j in tk.runs(off):
-                row, _, x = line_features(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                row, n, x = line_features(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 for r in np.unique(row):
-                    out[i + r] = x[row == r]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([np.asarray(x, np.float32).tobytes() for x in out], pa.binary())], ["doc_id", "quality", "x"])
-
-    got = texts.join(rated, "doc_id").select("doc_id", "quality", "text").mapInArrow(features, "doc_id long, quality int, x binary").collect()
-    sequences = []
-    for r in sorted(got, key=lambda r: (r.doc_id, r.x)):
-        x = np.frombuffer(r.x, np.float32).reshape(-1, FEATURES).astype(np.float64)
-        for i in range(0, len(x), TRAIN_LINES):
-            sequences.append((x[i : i + TRAIN_LINES], np.full(len(x[i : i + TRAIN_LINES]), int(r.quality > 0))))
-    return crf.train(sequences, FEATURES)
+                    out[i + r], words[i + r] = x[row == r], n[row == r]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), *(pa.array([v.tobytes() for v in c], pa.binary()) for c in (out, words))], ["doc_id", "quality", "x", "n"])
+
+    got = texts.join(rated, "doc_id").select("doc_id", "quality", "text").mapInArrow(features, "doc_id long, quality int, x binary, n binary").collect()
+    documents = [(int(r.quality > 0), np.frombuffer(r.x, np.float32).reshape(-1, FEATURES).astype(np.float64), np.frombuffer(r.n, np.int64)) for r in sorted(got, key=lambda r: (r.doc_id, r.x))]
+    return line_labels([d for d in documents if len(d[2])], min_share)[0]
 
 
 def label_lines(docs: DataFrame, model: crf.Model, min_share: float = MIN_SHARE) -> DataFrame:

@@ -84,6 +84,71 @@ def test_accuracy_on_the_test_tables(spark):
     assert np.mean([got[r.doc_id] == bool(r.quality) for r in rows]) >= 0.9
 
 
+def mixed(n, seed):
+    """Documents of prose and junk lines in turn, rated by which have more words, and the truth of every line."""
+    rng = random.Random(seed)
+    docs, labels, truth = [], [], []
+    for i in range(n):
+        q, lines = i % 2, []
+        while not lines or (sum(len(t.split()) for t, c in lines if c) >= 0.5 * sum(len(t.split()) for t, _ in lines)) != bool(q):
+            runs = [(rng.random() < (0.75 if q else 0.25), rng.randrange(2, 6)) for _ in range(rng.randrange(2, 6))]
+            lines = [(line(rng, c), c) for c, k in runs for _ in range(k)]
+        docs.append((i, "\n".join(t for t, _ in lines)))
+        labels.append((i, q, 0))
+        truth.append([int(c) for _, c in lines])
+    return docs, labels, truth
+
+
+def line(rng, good):
+    if good:
+        return " ".join(rng.choice(["river", "stone", "walks", "under", "evening", "letters", "carry", "quiet"]) for _ in range(rng.randrange(6, 14))).capitalize() + "."
+    return rng.choice([" | ", " "]).join(rng.choice(["HOME", "LOGIN", "###", "CLICK!!!", "$$$", "Next", "more"]) for _ in range(rng.randrange(4, 9)))
+
+
+def test_labels_lines_of_mixed_documents(spark, make):
+    import pyarrow as pa
+
+    docs, labels, truth = mixed(160, 5)
+    m = quality.fit(make(docs), spark.createDataFrame(labels[:80], "doc_id long, quality int, toxic int"))
+    data, off = quality.tk.utf8(pa.array([t for _, t in docs[80:]]))
+    row, _, y = quality.decode(data, off, m)
+    want = [v for t in truth[80:] for v in t]
+    assert len(y) == len(want) and np.mean(y == want) >= 0.95
+    got = {r.doc_id: r for r in quality.label_lines(make(docs[80:]), m).collect()}
+    assert np.mean([(0 < got[80 + k].content_share < 1) == (0 < sum(t) < len(t)) for k, t in enumerate(truth[80:])]) >= 0.95
+    assert np.mean([0 < r.content_share < 1 for r in got.values()]) >= 0.5
+    assert np.mean([got[i].keep == bool(q) for i, q, _ in labels[80:]]) >= 0.95
+
+
+def test_counts_equal_a_plain_decoding(spark, make):
+    """Line by line: features of a line alone in its text but for the echo, Viterbi by enumeration of short texts."""
+    docs, labels, _ = mixed(60, 6)
+    docs = [(i, "\n".join(t.split("\n")[:9])) for i, t in docs] + [(60, "Same here.\n\n \nSame here.\r\nOther one")]
+    m = quality.fit(make(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r for r in quality.label_lines(make(docs), m).collect()}
+    for i, t in docs:
+        lines = [x for x in t.replace("\r", "\n").split("\n") if x.split()]
+        xs = []
+        for k, x in enumerate(lines):
+            b = np.frombuffer(x.encode(), np.uint8)
+            f = quality.line_features(b, np.array([0, len(b)]))[2][0].astype(float)
+            f[7] = any(lines[j].split() == x.split() for j in (k - 1, k + 1) if 0 <= j < len(lines))
+            xs.append(f)
+        e = (np.array(xs) @ np.array(m.w)).tolist()
+        best = max(itertools.product((0, 1), repeat=len(e)), key=lambda y: score(y, e, m))
+        words = [len(x.split()) for x in lines]
+        share = sum(n * v for n, v in zip(words, best, strict=True)) / sum(words)
+        assert (got[i].n_lines, got[i].n_content_lines, got[i].keep) == (len(lines), sum(best), share >= 0.5)
+        assert got[i].content_share == pytest.approx(share)
+
+
+def test_a_share_equal_to_the_least_is_enough(spark, make):
+    m = crf.Model(tuple(1.0 if k == 11 else 0.0 for k in range(quality.FEATURES)), (0.0,) * 4, 0.0)  # content ends in a stop mark; -0.5 else
+    m = crf.Model((-0.5, *m.w[1:]), m.t, m.start)
+    rows = [(1, "one two.\nthree four"), (1, "one two.\nthree four"), (2, "one two.\nthree four five")]
+    assert sorted((r.doc_id, r.content_share, r.keep) for r in quality.label_lines(make(rows), m).collect()) == [(1, 0.5, True), (1, 0.5, True), (2, 0.4, False)]
+
+
 def test_defined_cases(spark, make):
     docs, labels = corpus(30)
     rated = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
