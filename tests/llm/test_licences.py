@@ -11,29 +11,46 @@ def terms(t):
     return [w.lower() for w in WORD.findall(t)]
 
 
+BREAK, BLANK = re.compile(r"\r\n|\n\r|\r|\n"), " \t\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def runs(lines, inside):
+    out = [[]]
+    for x in lines:
+        if inside(x):
+            out[-1].append(x)
+        else:
+            out.append([])
+    return ["\n".join(x) for x in out if x]
+
+
+def units(text, is_file):
+    lines = BREAK.split(text or "")
+    return [*lines, *runs(lines, terms), *runs(lines, lambda x: x.strip(BLANK)), *([text or ""] if is_file else [])]
+
+
 def brute(rows, threshold=lc.THRESHOLD):
     """TF-IDF cosines and directories by loops."""
     texts = [t for _, t, _ in rows if t is not None]
     names = [n for n, ts in sorted(lc.TEMPLATES.items()) for _ in ts]
-    templates = [terms(t) for _, ts in sorted(lc.TEMPLATES.items()) for t in ts]
-    known = {w for t in templates for w in t}
-    df = Counter(w for t in texts for w in set(terms(t)) & known)
+    templates = [Counter(terms(t)) for _, ts in sorted(lc.TEMPLATES.items()) for t in ts]
+    df = Counter(w for t in texts for w in set(terms(t)))
     n = len(texts)
-    idf = {w: math.log((1 + n) / (1 + df[w])) + 1 for w in known}
-    other = math.log((1 + n) / 2) + 1
+    idf = lambda w: math.log((1 + n) / (1 + df[w])) + 1
+    norms = [math.sqrt(sum((c * idf(w)) ** 2 for w, c in t.items())) for t in templates]
 
-    def cosine(ws, t):
-        a, b = Counter(w for w in ws if w in known), Counter(t)
-        na = math.sqrt(sum((c * idf[w]) ** 2 for w, c in a.items()) + sum(w not in known for w in ws) * other**2)
-        nb = math.sqrt(sum((c * idf[w]) ** 2 for w, c in b.items()))
-        return sum(c * idf[w] * b[w] * idf[w] for w, c in a.items()) / (na * nb) if na else 0.0
+    def cosines(a):
+        na = math.sqrt(sum((c * idf(w)) ** 2 for w, c in a.items()))
+        return [sum(c * idf(w) * t[w] * idf(w) for w, c in a.items() if w in t) / (na * nb) for t, nb in zip(templates, norms, strict=True)] if a else []
 
     def own(text, path):
-        parts = re.split(r"[\r\n]", text or "")
-        if path and path.rpartition("/")[2].lower() in lc.FILE_NAMES:
-            parts.append(text or "")
-        best = max(((round(cosine(terms(p), t), 9), -k) for p in parts for k, t in enumerate(templates)), default=(0.0, 0))
-        return (names[-best[1]], best[0]) if best[0] >= threshold else (None, None)
+        best = (0, 0.0, 0)
+        for u in units(text, bool(path and path.rpartition("/")[2].lower() in lc.FILE_NAMES)):
+            a = Counter(terms(u))
+            top = max(((round(c, 9), -k) for k, c in enumerate(cosines(a))), default=(0, 0))
+            if top[0] >= threshold:
+                best = max(best, (round(sum(a.values()) * top[0], 6), *top))
+        return (names[-best[2]], best[1]) if best[0] else (None, None)
 
     out, lends = [], {}
     for i, t, p in rows:
@@ -100,6 +117,43 @@ def test_the_documents(spark):
     assert run(spark, rows) == rounded(brute(rows))
 
 
+def openings(name):
+    """The first lines of a standard text, without what names its owner."""
+    lines = [x for x in lc.TEXTS[name].splitlines() if "opyright (" not in x and "All rights" not in x]
+    return "\n".join(lines[:9])
+
+
+def wrapped(text, mark):
+    return "\n".join(f"{mark} {x}".rstrip() for x in text.splitlines())
+
+
+def test_standard_texts_are_found_as_themselves(spark):
+    """Whole files, with an owner named, their openings, comment headers, and notices inside long prose: at two sizes of the corpus."""
+    prose = "the cat sat on the mat of the house and it was free to go for all that it knew " * 40
+    cases = []
+    for n, t in sorted(lc.TEXTS.items()):
+        cases += [(n, t, "LICENSE"), (n, t.replace("[year]", "2031").replace("[fullname]", "Mary Major"), "x/COPYING"), (n, wrapped(t, " *") + "\n" + prose, "a.c"), (n, wrapped(t, "#"), "a.py")]
+        cases.append((n, openings(n), "LICENSE.txt") if n != "BSD-3-Clause" else (n, t, "LICENSE.txt"))
+    for n, notices in lc.NOTICES.items():
+        for t in notices:
+            cases.append((n, f"# {t}\n\n{prose}", "a/b.py"))
+            half = t.split()
+            cases.append((n, "// " + " ".join(half[: len(half) // 2]) + "\n// " + " ".join(half[len(half) // 2 :]) + f"\n\n{prose}", "c.js"))
+    for copies in (1, 30):
+        plain = [(10_000 + k, f"the {w} of a {w} is to be that it was for this or all word{k}", None) for k in range(100 * copies) for w in [f"w{k % 97}"]]
+        found = {r[0]: r[2] for r in run(spark, [(k, t, f"{k}/{p}") for k, (_, t, p) in enumerate(cases)] + plain)}
+        wrong = [(n, found[k], t[:90]) for k, (n, t, _) in enumerate(cases) if found[k] != n]
+        assert not wrong
+        assert not any(found[r[0]] for r in plain)
+
+
+def test_whole_licences_equal_brute_force(spark):
+    rows = [(k, "\r\n".join([openings(n), "", "text below"]), f"{k}/LICENSE") for k, n in enumerate(sorted(lc.TEXTS))]
+    rows += [(50 + k, wrapped(lc.TEXTS[n], "*") + "\n\n \t\nend", f"{k}/a.c") for k, n in enumerate(("MIT", "ISC", "BSD-3-Clause"))]
+    rows += [(60, lc.TEXTS["MIT"] + "\nSPDX-License-Identifier: ISC\n", "z/LICENSE"), (61, "*\n*\n\n\n", "z/b"), (62, "Released\n\runder\rthe MIT\r\nLicense\n\n\n.", "y/c")]
+    assert run(spark, rows) == rounded(brute(rows))
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 
