@@ -87,7 +87,8 @@ def test_frame_and_cases(spark, make, truth):
 
 def test_store_round_trip(spark, truth):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    stored = ts.store(spark, docs, shard_docs=60).cache()
+    docs = docs.repartition(4, "doc_id")
+    stored = ts.store(spark, docs).cache()
     want = {r.doc_id: truth.encode_ordinary(r.text) for r in docs.collect()}
     assert {r.doc_id: r.token_ids for r in ts.read(stored).collect()} == want
     one = spark.createDataFrame([(5,), (17,)], "doc_id long")
@@ -132,3 +133,49 @@ def test_store_cases(spark, make):
     broken = got.withColumn("dictionary_hash", F.lit("x"))
     with pytest.raises(ValueError):
         ts.read(broken)
+
+
+def test_flat_files_are_read_by_range(spark, make, truth, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").repartition(4, "doc_id")
+    more = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, "twice"), (10**6 + 2, "twice"), (None, "no id"), (10**6 + 3, "long text " * 200_000)], "doc_id long, text string")
+    docs = docs.unionByName(more)
+    folder = str(tmp_path / "tokens")
+    index = ts.write(spark, docs, folder)
+    want = {}
+    for r in docs.collect():
+        want.setdefault(r.doc_id, []).append(None if r.text is None else truth.encode_ordinary(r.text))
+    assert index.count() == docs.count()
+    asked = spark.createDataFrame([(i,) for i in want if i is not None and (i % 3 == 0 or i >= 10**6)] + [(-7,), (None,)], "doc_id long")
+    got = {}
+    for r in ts.lookup(spark, folder, asked).collect():
+        got.setdefault(r.doc_id, []).append(r.token_ids)
+    assert got == {i: v for i, v in want.items() if i is not None and (i % 3 == 0 or i >= 10**6)}
+    assert [x.tolist() for x in ts.fetch(spark, folder, 17)] == want[17] and ts.fetch(spark, folder, 10**6) == [None] and ts.fetch(spark, folder, -7) == []
+    by_file = {}
+    for r in index.collect():
+        by_file.setdefault(r.file, []).append(r)
+    for name, rows in by_file.items():
+        place = 0
+        for r in sorted(rows, key=lambda r: (r.offset, r.length)):
+            assert r.offset == place
+            place += r.length
+        assert (tmp_path / "tokens" / "shards" / name).stat().st_size == place
+    assert ts.write(spark, make([]), str(tmp_path / "none")).count() == 0
+    assert ts.lookup(spark, str(tmp_path / "none"), asked).count() == 0
+    (tmp_path / "tokens" / "dictionary").write_bytes(b"x")
+    with pytest.raises(ValueError):
+        ts.fetch(spark, folder, 17)
+
+
+def test_dictionary_is_trained_on_all_levels(spark):
+    """Blocks of 20 kB make several levels; phrases of the last documents reach the dictionary too."""
+    rare = "zirconium lattice baffles the heron quartet"
+    rows = [(i, f"{rare} {i}" if i >= 2700 else f"plain words number {i % 89} and {i % 97} go here") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(6, "doc_id")
+    ws = ts.Workspace(spark, "levels")
+    ids = ws.table(ts._ids(docs, ts.VOCABULARY), "ids")
+    made = ts.train_dictionary(ws, ids, size=1 << 13, block=20_000)
+    assert ts.serialise(" lattice baffles the heron") in made
+    total = lambda d: sum(len(ts.compress(ts.serialise(t), d)) for _, t in rows)
+    assert total(made) < total(b"")
+    assert ts.train([b"abc"], 1 << 12) == b""
