@@ -16,20 +16,20 @@ CODE = tuple("bash c c++ go java javascript kql powershell python rust shell sig
 
 @dataclass(frozen=True)
 class Heuristics:
-    """Thresholds of the score."""
+    """Thresholds of the score.  The four max_ bounds are None for whole texts, or how many grams, tokens, shingles or bytes count."""
 
     code_band: tuple[int, int] = (2000, 4000)
     log_band: tuple[int, int] = (1000, 2000)
     text_band: tuple[int, int] = (1500, 2000)
     other_band: tuple[int, int] = (1000, 3000)
     repetition_k: int = 16
-    repetition_max_grams: int = 20_000
+    repetition_max_grams: int | None = None
     code_short_line: int = 60
     code_punct_weight: float = 0.5
     code_short_weight: float = 0.5
-    simhash_max_tokens: int = 20_000
-    minhash_max_shingles: int = 20_000
-    parse_max_bytes: int = 200_000
+    simhash_max_tokens: int | None = None
+    minhash_max_shingles: int | None = None
+    parse_max_bytes: int | None = None
     gopher: bool = True
     gopher_weight: float = 0.10
 
@@ -79,7 +79,7 @@ def parse_ok(text: Column, lang: Column, parsed: Column | None = None, h: Heuris
     json_ok = F.when(F.try_parse_json(text).isNotNull(), 1.0).otherwise(0.0)
     checked = parsed if parsed is not None else F.when(low == "json", json_ok).otherwise(0.0)
     return (
-        F.when(F.octet_length(text) > h.parse_max_bytes, 0.0)
+        F.when(F.octet_length(text) > h.parse_max_bytes if h.parse_max_bytes is not None else F.lit(False), 0.0)
         .when(low.isin(*TEXTY), prose)
         .when(low == "kql", piped("extend|join|parse|project|summarize|where"))
         .when(low == "spl", piped("eval|join|lookup|rename|rex|stats|table|where"))

@@ -1,7 +1,11 @@
 """Signals that position-wise loops make expensive in expressions, as one Arrow pass over the text.
 
 ``text_signals`` gives repetition, SimHash and MinHash together, so a text
-crosses to Python once; ``parse_checks`` needs Python's own parsers.
+crosses to Python once; ``parse_checks`` needs Python's own parsers.  Kernels work on runs of rows of about
+``RUN`` bytes, so no Python loop runs per character, and memory is bounded by a run or the longest text.
+
+``most`` bounds how many grams, tokens or shingles of a text count, as single-machine engines do; None, the
+default, takes whole texts.
 """
 
 from __future__ import annotations
@@ -9,7 +13,6 @@ from __future__ import annotations
 import ast
 import json
 import random
-import re
 from hashlib import blake2b
 
 import numpy as np
@@ -19,65 +22,144 @@ from pyspark.sql.types import DoubleType
 
 PRIME = 4294967311
 SEED = 0x5EED5EED
-_TOKEN = re.compile(r"[A-Za-z]\w{2,}", re.A)
-_COMMON = frozenset("about across also based been between could each from have here into many more most onto other over should some such than that their them then there these this those under upon used using very when where which while will with within would your".split())
-_TOKENS: dict[str, int] = {}
-
-
-def repeats(text: str, k: int = 16, most: int = 20_000) -> int:
-    """Positions among the first ``most`` whose k characters came before."""
-    if len(text) < 2 * k:
-        return 0
-    n = min(len(text) - k + 1, most)
-    return n - len({text[i : i + k] for i in range(n)})
-
-
-def repetition_rate(text: str, k: int = 16, most: int = 20_000) -> float:
-    if len(text) < 2 * k:
-        return 0.0
-    return repeats(text, k, most) / min(len(text) - k + 1, most)
-
-
-def token_hash(token: str) -> int:
+RUN = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_WORD = _LETTER.copy()
+_WORD[[*range(48, 58), 95]] = True
+_COMMON = frozenset(w.encode() for w in "about across also based been between could each from have here into many more most onto other over should some such than that their them then there these this those under upon used using very when where which while will with within would your".split())
+_TOKENS: dict[bytes, int] = {}
+
+
+def _grams(x: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hash of every k consecutive values, by doubling."""
+    n = len(x) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = x.astype(np.uint64) + np.uint64(1)
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    out, done, cur, span = None, 0, h, 1
+    while True:
+        if k & span:
+            out = cur if out is None else out[: len(cur) - done] + np.uint64(pow(_BASE, done, 1 << 64)) * cur[done:]
+            done += span
+            if done == k:
+                return out[:n]
+        cur = cur[:-span] + np.uint64(pow(_BASE, span, 1 << 64)) * cur[span:]
+        span *= 2
+
+
+def repeat_counts(texts: list[str], k: int = 16, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: positions (the first ``most``) whose k characters came before, and positions; 0 of 0 below 2 k characters.
+
+    Grams are compared by 64-bit hashes.
+    """
+    length = np.array([len(t) for t in texts], np.int64)
+    n = np.where(length < 2 * k, 0, length - k + 1)
+    n = n if most is None else np.minimum(n, most)
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    g, first, out = _grams(code, k), np.cumsum(length) - length, np.zeros(len(texts), np.int64)
+    for i in np.flatnonzero(n):
+        own = np.sort(g[first[i] : first[i] + n[i]])
+        out[i] = np.count_nonzero(own[1:] == own[:-1])
+    return out, n
+
+
+def repeats(text: str, k: int = 16, most: int | None = None) -> int:
+    """Positions whose k characters came before."""
+    return int(repeat_counts([text], k, most)[0][0])
+
+
+def repetition_rate(text: str, k: int = 16, most: int | None = None) -> float:
+    again, n = repeat_counts([text], k, most)
+    return float(again[0] / max(1, n[0]))
+
+
+def token_hash(token: bytes) -> int:
+    """Of a lower-case token; 0 is kept for tokens that don't count."""
     h = _TOKENS.get(token)
     if h is None:
         if len(_TOKENS) > 1_000_000:
             _TOKENS.clear()
-        h = _TOKENS[token] = int.from_bytes(blake2b(token.encode(), digest_size=8).digest(), "little")
+        h = _TOKENS[token] = int.from_bytes(blake2b(token, digest_size=8).digest(), "little") if token not in _COMMON else 0
     return h
 
 
-def simhash(text: str, most: int = 20_000) -> int:
-    """64-bit SimHash as a signed number; 0 without tokens."""
-    if most <= 0:
-        return 0
-    hashes = []
-    for m in _TOKEN.finditer(text):
-        t = m[0].lower()
-        if len(t) >= 4 and t not in _COMMON:
-            hashes.append(token_hash(t))
-            if len(hashes) == most:
-                break
-    if not hashes:
-        return 0
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    votes = 2 * bits.sum(0, dtype=np.int64) > len(hashes)
-    return int(np.packbits(votes, bitorder="little").view("<i8")[0])
-
-
-def shingle_hashes(text: str, k: int = 5, most: int = 20_000) -> np.ndarray:
-    """Distinct Adler-32 sums of the byte k-grams that hold a byte above 32, of the first ``most`` positions."""
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
-    n = min(len(b) - k + 1, most) if most else len(b) - k + 1
+def _spans(flag: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True, which end at the row starts ``inner`` too."""
+    edge = np.diff(flag.astype(np.int8), prepend=0, append=0)
+    starts, ends = edge[:-1] == 1, edge[1:] == -1
+    cut = inner[(inner > 0) & (inner < len(flag))]
+    cut = cut[flag[cut] & flag[cut - 1]]
+    starts[cut], ends[cut - 1] = True, True
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def simhashes(data: bytes, off: np.ndarray, most: int | None = None) -> np.ndarray:
+    """64-bit SimHash (signed) of each row of UTF-8 bytes; 0 without tokens.
+
+    Tokens begin at the first ASCII letter of a run of letters, digits and underscores and have four characters or more.
+    """
+    rows = len(off) - 1
+    out = np.zeros(rows, np.int64)
+    b = np.frombuffer(data, np.uint8)
+    if not len(b) or most == 0:
+        return out
+    s, e = _spans(_WORD[b], off)
+    letters = np.flatnonzero(_LETTER[b])
+    s = np.concatenate([letters, [len(b)]])[np.searchsorted(letters, s)]
+    good = e - s >= 4
+    s, e = s[good], e[good]
+    low = data.lower()  # ASCII only: bytes
+    h = np.array([token_hash(low[x:y]) for x, y in zip(s.tolist(), e.tolist(), strict=True)], np.uint64)
+    row = np.searchsorted(off, s, "right") - 1
+    row, h = row[h != 0], h[h != 0]
+    if most is not None:
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < most
+        row, h = row[keep], h[keep]
+    if not len(h):
+        return out
+    full, first, n = np.unique(row, return_index=True, return_counts=True)
+    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    votes = 2 * np.add.reduceat(bits, first, axis=0, dtype=np.int32) > n[:, None]
+    out[full] = np.packbits(votes, axis=1, bitorder="little").view("<i8")[:, 0]
+    return out
+
+
+def simhash(text: str, most: int | None = None) -> int:
+    raw = text.encode("utf-8", "surrogatepass")
+    return int(simhashes(raw, np.array([0, len(raw)]), most)[0])
+
+
+def shingle_rows(data: bytes, off: np.ndarray, k: int = 5, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct Adler-32 sums of the byte k-grams that hold a byte above 32, in order."""
+    b = np.frombuffer(data, np.uint8)
+    n = len(b) - k + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     low, high, seen = np.ones(n, np.int64), np.full(n, k, np.int64), np.zeros(n, bool)
     for i in range(k):
         part = b[i : i + n]
         low += part
-        high += (k - i) * part
+        high += (k - i) * part.astype(np.int64)
         seen |= part > 32
-    return np.unique((high % 65521 << 16 | low % 65521)[seen])
+    at = np.flatnonzero(seen)
+    row = np.searchsorted(off, at, "right") - 1
+    good = at + k <= off[row + 1]
+    if most is not None:
+        good &= at - off[row] < most
+    at, row = at[good], row[good]
+    h = (high[at] % 65521 << 16 | low[at] % 65521).astype(np.uint64)
+    key = np.unique(row.astype(np.uint64) << np.uint64(32) | h)
+    return (key >> np.uint64(32)).astype(np.int64), key & np.uint64(0xFFFFFFFF)
+
+
+def shingle_hashes(text: str, k: int = 5, most: int | None = None) -> np.ndarray:
+    """Distinct Adler-32 sums of the byte k-grams that hold a byte above 32."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return shingle_rows(raw, np.array([0, len(raw)]), k, most)[1].astype(np.int64)
 
 
 def coefficients(n: int = 128, seed: int = SEED) -> list[tuple[int, int]]:
@@ -85,17 +167,28 @@ def coefficients(n: int = 128, seed: int = SEED) -> list[tuple[int, int]]:
     return [(draw.randrange(1, PRIME - 1), draw.randrange(0, PRIME - 1)) for _ in range(n)]
 
 
-def minhash(shingles: np.ndarray, n: int = 128, seed: int = SEED) -> np.ndarray:
-    """Least (a x + b) mod PRIME for each pair of coefficients; PRIME without shingles."""
-    if not len(shingles):
-        return np.full(n, PRIME, np.int64)
-    out = np.empty(n, np.int64)
-    for i, (a, b) in enumerate(_pairs(n, seed)):
-        high = (a >> 16) * shingles % PRIME << 16
-        out[i] = ((high + (a & 0xFFFF) * shingles + b) % PRIME).min()
+def minhashes(row: np.ndarray, shingles: np.ndarray, rows: int, n: int = 128, seed: int = SEED) -> np.ndarray:
+    """Of each row: the least (a x + b) mod PRIME for each pair of coefficients; PRIME without shingles.
+
+    x is at most 65520 << 16 | 65520, so a x + b stays below 2**64.
+    """
+    out = np.full((rows, n), PRIME, np.int64)
+    if len(row):
+        full, first = np.unique(row, return_index=True)
+        p = np.uint64(PRIME)
+        for i, (a, b) in enumerate(_pairs(n, seed)):
+            y = shingles * np.uint64(a)
+            y += np.uint64(b)
+            y %= p
+            out[full, i] = np.minimum.reduceat(y, first)
     return out
 
 
+def minhash(shingles: np.ndarray, n: int = 128, seed: int = SEED) -> np.ndarray:
+    """The signature of one set of shingles."""
+    return minhashes(np.zeros(len(shingles), np.int64), np.asarray(shingles).astype(np.uint64), 1, n, seed)[0]
+
+
 _known: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
 
@@ -105,28 +198,43 @@ def _pairs(n: int, seed: int):
     return _known[n, seed]
 
 
-def band_keys(signature: np.ndarray, rows: int = 4) -> np.ndarray:
-    """FNV-1a folds of the low 32 bits of each band's values."""
-    v = np.asarray(signature, np.int64).reshape(-1, rows) & 0xFFFFFFFF
-    h = np.full(len(v), 2166136261, np.uint64)
+def band_keys(signatures: np.ndarray, rows: int = 4) -> np.ndarray:
+    """FNV-1a folds of the low 32 bits of each band's values; one signature, or one a row."""
+    v = np.asarray(signatures, np.int64)
+    v = v.reshape(*v.shape[:-1], -1, rows) & 0xFFFFFFFF
+    h = np.full(v.shape[:-1], 2166136261, np.uint64)
     for k in range(rows):
-        h = (h ^ v[:, k].astype(np.uint64)) * np.uint64(16777619) & np.uint64(0xFFFFFFFF)
+        h = (h ^ v[..., k].astype(np.uint64)) * np.uint64(16777619) & np.uint64(0xFFFFFFFF)
     return h.astype(np.int64)
 
 
-def text_signals(repetition: bool = True, sim: bool = True, min_hash: bool = True, k: int = 16, most: int = 20_000, n_perm: int = 128, shingle: int = 5):
+def text_signals(repetition: bool = True, sim: bool = True, min_hash: bool = True, k: int = 16, max_grams: int | None = None, max_tokens: int | None = None, max_shingles: int | None = None, n_perm: int = 128, shingle: int = 5):
     """A pandas function text -> struct(repeats, repetition, simhash, minhash), nulls for a null text and for what isn't asked for."""
 
     @F.pandas_udf("repeats long, repetition double, simhash long, minhash array<bigint>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            if t is None:
-                rows.append((None, None, None, None))
-                continue
-            rows.append((repeats(t, k, most) if repetition else None, repetition_rate(t, k, most) if repetition else None, simhash(t, most) if sim else None, minhash(shingle_hashes(t, shingle, most), n_perm) if min_hash else None))
-        out = pd.DataFrame(rows, columns=["repeats", "repetition", "simhash", "minhash"])
-        return out.astype({"repeats": "Int64", "simhash": "Int64"})
+        total = len(texts)
+        out = {c: np.full(total, None, object) for c in ("repeats", "repetition", "simhash", "minhash")}
+        have = np.flatnonzero(texts.notna().to_numpy())
+        values = texts.iloc[have].tolist()
+        raw = [t.encode("utf-8", "surrogatepass") for t in values]
+        size = np.array([len(r) for r in raw], np.int64)
+        ends, i = np.cumsum(size), 0
+        while i < len(raw):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - size[i] + RUN, "right")))
+            at, off = have[i:j], np.concatenate([[0], np.cumsum(size[i:j])])
+            if repetition:
+                again, n = repeat_counts(values[i:j], k, max_grams)
+                out["repeats"][at], out["repetition"][at] = again, again / np.maximum(1, n)
+            if sim or min_hash:
+                data = b"".join(raw[i:j])
+                if sim:
+                    out["simhash"][at] = simhashes(data, off, max_tokens)
+                if min_hash:
+                    for p, x in zip(at, minhashes(*shingle_rows(data, off, shingle, max_shingles), j - i, n_perm), strict=True):
+                        out["minhash"][p] = x
+            i = j
+        return pd.DataFrame({"repeats": pd.array(out["repeats"], "Int64"), "repetition": pd.array(out["repetition"], "Float64"), "simhash": pd.array(out["simhash"], "Int64"), "minhash": out["minhash"]})
 
     return run
 

@@ -7,7 +7,7 @@ Python and in the SQL that tests compare with.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it, for classes in regular expressions.
@@ -67,13 +67,15 @@ def code_mark_count(text: Column) -> Column:
     return n_of(text, CODE_MARKS)
 
 
-def short_line_count(text: Column, most: int = 60) -> Column:
+def short_line_count(text: Column, most: int = 60, ls: Column | None = None) -> Column:
     bare = rf"^[{SPACES}]+|[{SPACES}]+$"
-    return F.size(F.filter(lines(text), lambda x: F.length(F.regexp_replace(x, bare, "")) <= most)).cast("long")
+    # only lines longer than ``most`` need to be stripped
+    return F.size(F.filter(lines(text) if ls is None else ls, lambda x: (F.length(x) <= most) | (F.length(F.regexp_replace(x, bare, "")) <= most))).cast("long")
 
 
-def code_complexity(text: Column, short: int = 60, marks: float = 0.5, lines_weight: float = 0.5) -> Column:
-    share = short_line_count(text, short) / F.greatest(F.size(lines(text)), F.lit(1))
+def code_complexity(text: Column, short: int = 60, marks: float = 0.5, lines_weight: float = 0.5, ls: Column | None = None) -> Column:
+    ls = lines(text) if ls is None else ls
+    share = short_line_count(text, short, ls) / F.greatest(F.size(ls), F.lit(1))
     return F.when(text == "", 0.0).otherwise(F.least(F.lit(1.0), marks * code_mark_count(text) / F.length(text) + lines_weight * share))
 
 
@@ -98,36 +100,63 @@ def symbol_count(text: Column) -> Column:
     return F.length(F.regexp_replace(text, rf"[\p{{L}}\p{{N}}{SPACES}]", "")).cast("long")
 
 
-def _filled(text: Column) -> Column:
-    return F.filter(lines(text), lambda x: x.rlike(rf"[^{SPACES}]"))
+def filled(ls: Column) -> Column:
+    """The lines that aren't blank."""
+    return F.filter(ls, lambda x: x.rlike(rf"[^{SPACES}]"))
 
 
-def bullet_ratio(text: Column) -> Column:
-    return _over(F.size(F.filter(_filled(text), lambda x: x.rlike(BULLET))).cast("double"), F.size(_filled(text)))
+def bullet_ratio(text: Column, full: Column | None = None) -> Column:
+    full = filled(lines(text)) if full is None else full
+    return _over(F.size(F.filter(full, lambda x: x.rlike(BULLET))).cast("double"), F.size(full))
 
 
-def ellipsis_ratio(text: Column) -> Column:
-    return _over(F.size(F.filter(_filled(text), lambda x: x.rlike(rf"(?:\.\.\.|…)[{SPACES}]*$"))).cast("double"), F.size(_filled(text)))
+def ellipsis_ratio(text: Column, full: Column | None = None) -> Column:
+    full = filled(lines(text)) if full is None else full
+    # the cheap test first: most lines hold no dots at their end
+    dots = lambda x: (x.contains("...") | x.contains("…")) & x.rlike(rf"(?:\.\.\.|…)[{SPACES}]*$")
+    return _over(F.size(F.filter(full, dots)).cast("double"), F.size(full))
 
 
-def gopher_flags(text: Column) -> dict[str, Column]:
-    n, size = word_count(text), F.length(text)
-    mean = _over(letter_count(text).cast("double"), n)
+#: Columns that several signals read, computed once by ``bound``.
+BOUND = ("__lines", "__filled", "__words", "__letters")
+
+
+def bound(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with BOUND: its lines, those that aren't blank, its number of words with that of stop words, and its letters.
+
+    Each is a step of its own, since an expression that is named several times in one step is computed several times.
+    """
+    t = F.col(text)
+    out = df.withColumn("__lines", lines(t)).withColumn("__filled", filled(F.col("__lines")))
+    return out.withColumn("__words", words(t)).withColumn("__letters", F.aggregate("__words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)))
+
+
+def gopher_flags(text: Column, have_bound: bool = False) -> dict[str, Column]:
+    """have_bound: the row has the columns that ``bound`` adds."""
+    if have_bound:
+        n, stop, letters, full = F.size("__words").cast("long"), F.size(F.filter("__words", lambda w: w.isin(*STOP_WORDS))), F.col("__letters"), F.col("__filled")
+    else:
+        n, stop, letters, full = word_count(text), stop_word_count(text), letter_count(text), None
+    size = F.length(text)
+    mean = _over(letters.cast("double"), n)
     return {
         "min_words": n >= 50,
         "mean_word_len": (mean >= 3.0) & (mean <= 8.0),
         "symbol_ratio": _over(symbol_count(text).cast("double"), size) <= 0.15,
-        "stopword_ratio": _over(stop_word_count(text).cast("double"), n) >= 0.20,
-        "bullet_ratio": bullet_ratio(text) <= 0.50,
-        "ellipsis_ratio": ellipsis_ratio(text) <= 0.30,
+        "stopword_ratio": _over(stop.cast("double"), n) >= 0.20,
+        "bullet_ratio": bullet_ratio(text, full) <= 0.50,
+        "ellipsis_ratio": ellipsis_ratio(text, full) <= 0.30,
     }
 
 
-def gopher_score(text: Column) -> Column:
-    flags = list(gopher_flags(text).values())
+def mean_of_flags(flags: list[Column]) -> Column:
     return sum((f.cast("int") for f in flags[1:]), flags[0].cast("int")) / len(flags)
 
 
+def gopher_score(text: Column, have_bound: bool = False) -> Column:
+    return mean_of_flags(list(gopher_flags(text, have_bound).values()))
+
+
 def qc_tokens(text: Column) -> Column:
     """Tokens as the quality scorer estimates them: characters over four, at least one."""
     return F.greatest(F.lit(1), F.floor((F.length(text) + 3) / 4)).cast("long")
@@ -149,9 +178,10 @@ def content_hash(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-def repeats(text: Column, k: int = 16, most: int = 20_000) -> Column:
-    """Positions whose k characters occurred before, among the first ``most`` (the reference semantics); higher-order form.  signals.py has the Arrow form, which is faster."""
-    n = F.least(F.length(text) - k + 1, F.lit(most))
+def repeats(text: Column, k: int = 16, most: int | None = None) -> Column:
+    """Positions whose k characters occurred before, among the first ``most`` (None: all); higher-order form.  signals.py has the Arrow form, which is faster."""
+    n = F.length(text) - k + 1
+    n = n if most is None else F.least(n, F.lit(most))
     grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(k)))
     return F.when(F.length(text) < 2 * k, F.lit(0)).when(text.isNotNull(), F.size(grams) - F.size(F.array_distinct(grams))).cast("long")
 

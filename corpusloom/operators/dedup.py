@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,9 +37,9 @@ def drop_exact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return ranked.unionByName(docs.where(F.col(text).isNull()))
 
 
-def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", sim: bool = True, min_hash: bool = True, n_perm: int = N_PERM, most: int = 20_000) -> DataFrame:
+def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", sim: bool = True, min_hash: bool = True, n_perm: int = N_PERM, max_tokens: int | None = None, max_shingles: int | None = None) -> DataFrame:
     """key, content_hash and the signatures asked for, in one pass over the text."""
-    made = signals.text_signals(repetition=False, sim=sim, min_hash=min_hash, n_perm=n_perm, most=most)
+    made = signals.text_signals(repetition=False, sim=sim, min_hash=min_hash, n_perm=n_perm, max_tokens=max_tokens, max_shingles=max_shingles)
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
     out = rows.select(F.col(key), tx.content_hash(F.col(text)).alias("content_hash"), made(F.col(text)).alias("s"))
     return out.select(key, "content_hash", *(["s.simhash"] if sim else []), *(["s.minhash"] if min_hash else []))
@@ -68,7 +69,12 @@ def simhash_window(spark: SparkSession, hashes: DataFrame, key: str = "doc_id",
 
 @F.pandas_udf(ArrayType(LongType()))
 def _band_keys(signatures: pd.Series) -> pd.Series:
-    return signatures.map(lambda s: None if s is None else signals.band_keys(s, ROWS))
+    have = np.flatnonzero(signatures.notna().to_numpy())
+    out = np.full(len(signatures), None, object)
+    if len(have):
+        for i, keys in zip(have, signals.band_keys(np.stack(signatures.iloc[have].tolist()), ROWS), strict=True):
+            out[i] = keys
+    return pd.Series(out, index=signatures.index)
 
 
 def bands(signatures: DataFrame, key: str, column: str = "minhash") -> DataFrame:
@@ -127,7 +133,8 @@ class Store:
     """Signatures of earlier runs as Parquet tables, with the parameters they were made with.
 
     ``check`` looks up, ``add`` appends what the store lacks: the first row of a content hash or id wins,
-    near duplicates that are no copies are stored too.
+    near duplicates that are no copies are stored too.  A row never matches its own id, nor what its own
+    ``batch`` stored, so a batch that is run again after a failure gets the answers it got at first.
     """
 
     def __init__(self, spark: SparkSession, path: str, n_perm: int = N_PERM, rows: int = ROWS, threshold: float = THRESHOLD, read_only: bool = False):
@@ -149,11 +156,11 @@ class Store:
         return json.loads(self.spark.read.text(f"{self.path}/params").first()[0]) if self._exists("params") else None
 
     def signatures(self) -> DataFrame:
-        schema = "doc_id string, content_hash string, minhash array<bigint>"
+        schema = "doc_id string, content_hash string, minhash array<bigint>, batch string"
         return self.spark.read.schema(schema).parquet(f"{self.path}/signatures") if self._exists("signatures") else self.spark.createDataFrame([], schema)
 
-    def add(self, rows: DataFrame) -> int:
-        """Appends rows (doc_id, content_hash, minhash) that the store lacks; how many."""
+    def add(self, rows: DataFrame, batch: str | None = None) -> int:
+        """Appends rows (doc_id, content_hash, minhash) that the store lacks; how many.  batch: the name of a unit of work that may be repeated."""
         if self.read_only:
             raise PermissionError("the store is read-only")
         tables = Tables(self.spark, "store")
@@ -163,16 +170,22 @@ class Store:
         one = one.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
         old = self.signatures()
         fresh = one.join(old.select("doc_id"), "doc_id", "left_anti").join(old.where("content_hash is not null").select("content_hash"), "content_hash", "left_anti")
-        fresh = tables.keep(fresh.select("doc_id", "content_hash", "minhash"), "fresh")
+        fresh = tables.keep(fresh.select("doc_id", "content_hash", "minhash", F.lit(batch).cast("string").alias("batch")), "fresh")
         fresh.write.mode("append").parquet(f"{self.path}/signatures")
         return fresh.count()
 
-    def check(self, rows: DataFrame) -> DataFrame:
-        """doc_id, global_dup, match_id, score for each row: an equal content hash scores 1, else the best estimate over shared bands."""
+    def check(self, rows: DataFrame, batch: str | None = None) -> DataFrame:
+        """doc_id, global_dup, match_id, score for each row: an equal content hash scores 1, else the best estimate over shared bands.
+
+        Rows stored under the same id, or by the same ``batch``, are no match.
+        """
         tables = Tables(self.spark, "store-check")
         mine = tables.keep(rows.select(F.col("doc_id").cast("string").alias("doc_id"), "content_hash", "minhash").where("doc_id is not null"), "mine")
         old = self.signatures()
-        copies = mine.join(old.groupBy("content_hash").agg(F.min("doc_id").alias("match_id")), "content_hash").select("doc_id", F.lit(1.0).alias("score"), "match_id")
+        if batch is not None:
+            old = old.where(F.col("batch").isNull() | (F.col("batch") != batch))
+        held = old.select("content_hash", F.col("doc_id").alias("match_id"))  # a content hash is stored once
+        copies = mine.join(held, "content_hash").where("doc_id <> match_id").select("doc_id", F.lit(1.0).alias("score"), "match_id")
         left = bands(mine.where("minhash is not null"), "doc_id")
         right = bands(old.select(F.col("doc_id").alias("match_id"), "minhash"), "match_id")
         pairs = left.join(right, ["band", "value"]).where("doc_id <> match_id").select("doc_id", "match_id").distinct()

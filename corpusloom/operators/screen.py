@@ -21,8 +21,8 @@ def quality(docs: DataFrame, lang: Column | None = None, h: score.Heuristics = s
     """
     t = F.col(text)
     label = F.coalesce(F.nullif(F.trim(lang), F.lit("")), F.lit("Text")) if lang is not None else F.lit("Text")
-    rep = signals.text_signals(sim=False, min_hash=False, k=h.repetition_k, most=h.repetition_max_grams)
-    out = docs.withColumn("__rep", rep(t))
+    rep = signals.text_signals(sim=False, min_hash=False, k=h.repetition_k, max_grams=h.repetition_max_grams)
+    out = tx.bound(docs.withColumn("__rep", rep(t)), text)
     n = tx.qc_tokens(t)
     parsed = signals.parse_checks(t, label) if parse else None
     out = out.withColumns(
@@ -32,18 +32,18 @@ def quality(docs: DataFrame, lang: Column | None = None, h: score.Heuristics = s
             "length_ok": score.length_ok(n, label, h),
             "ascii_ratio": tx.ascii_ratio(t),
             "repetition": F.col("__rep.repetition"),
-            "code_complexity": tx.code_complexity(t, h.code_short_line, h.code_punct_weight, h.code_short_weight),
+            "code_complexity": tx.code_complexity(t, h.code_short_line, h.code_punct_weight, h.code_short_weight, F.col("__lines")),
             "parse_ok": score.parse_ok(t, label, parsed, h),
-            "gopher_quality": tx.gopher_score(t) if h.gopher else F.lit(1.0),
+            "gopher_quality": tx.gopher_score(t, True) if h.gopher else F.lit(1.0),
         }
-    ).drop("__rep")
+    ).drop("__rep", *tx.BOUND)
     base = score.base_score(*(F.col(c) for c in ("length_ok", "repetition", "code_complexity", "ascii_ratio", "parse_ok")), score.lm_score(F.col(perplexity) if perplexity else None), F.col("gopher_quality"), h)
     return out.withColumn("score", 100 * base)
 
 
-def with_duplicates(spark: SparkSession, rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def with_duplicates(spark: SparkSession, rows: DataFrame, key: str = "doc_id", text: str = "text", h: score.Heuristics = score.Heuristics()) -> DataFrame:
     """Quality rows with near duplicates found and penalised."""
-    sk = dedup.Tables(spark, "screen").keep(dedup.sketches(rows, key, text), "sketches")
+    sk = dedup.Tables(spark, "screen").keep(dedup.sketches(rows, key, text, max_tokens=h.simhash_max_tokens, max_shingles=h.minhash_max_shingles), "sketches")
     fam = dedup.families(rows, dedup.simhash_window(spark, sk, key), dedup.lsh_duplicates(spark, sk, key), key)
     joined = rows.join(fam, key, "left")
     factor = score.dup_penalty(F.col("qc_lang"), F.coalesce("near_dup", F.lit(False)), F.coalesce("hamdist", F.lit(99)))

@@ -60,7 +60,7 @@ def screened(spark: SparkSession, config: Config, rows: DataFrame) -> DataFrame:
     if config.quality.mode != "off":
         rows = screen.quality(rows, F.col("meta.lang"), config.quality.heuristics)
         if config.quality.dedup == "near":
-            rows = screen.with_duplicates(spark, rows)
+            rows = screen.with_duplicates(spark, rows, h=config.quality.heuristics)
         elif config.quality.dedup == "exact":
             dups = dedup.exact_duplicates(rows).select("doc_id", F.col("dup_of").isNotNull().alias("near_dup"))
             rows = rows.join(dups, "doc_id", "left")

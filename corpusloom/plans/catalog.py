@@ -86,9 +86,9 @@ _COMPLEX = f"(CASE WHEN text = '' THEN 0 ELSE least(1.0::DOUBLE, 0.5::DOUBLE * {
 _TOKENS = "greatest(1, (length(text) + 3) // 4)"
 _LENGTH_OK = f"(CASE WHEN {_TOKENS} BETWEEN 1500 AND 2000 THEN 1 ELSE greatest(0::DOUBLE, 1 - abs({_TOKENS} - 1750)::DOUBLE / 2000) END)"
 _ASCII = f"(CASE WHEN text = '' THEN 1 ELSE {_N_ASCII}::DOUBLE / length(text) END)"
-_PROSE = rf"(CASE WHEN octet_length(encode(text)) > 200000 THEN 0 WHEN regexp_matches(text, {_re2(score.MD_HEADING)}) OR regexp_matches(text, {_re2(score.RST_HEADING)}) OR length(text) > 400 THEN 1 ELSE 0.7::DOUBLE END)"
+_PROSE = rf"(CASE WHEN regexp_matches(text, {_re2(score.MD_HEADING)}) OR regexp_matches(text, {_re2(score.RST_HEADING)}) OR length(text) > 400 THEN 1 ELSE 0.7::DOUBLE END)"
 _REPEATS = """rep AS (SELECT doc_id, count(*) - count(DISTINCT substr(text, i, 16)) AS repeats, count(*) AS grams
-  FROM (SELECT doc_id, text, unnest(range(1, least(length(text) - 15, 20000) + 1)) AS i FROM documents WHERE length(text) >= 32) GROUP BY doc_id)"""
+  FROM (SELECT doc_id, text, unnest(range(1, length(text) - 14)) AS i FROM documents WHERE length(text) >= 32) GROUP BY doc_id)"""
 _SCORED = f"""{_REPEATS}, scored AS (SELECT documents.doc_id, documents.lang, documents.source, text,
   100 * (0.25::DOUBLE * {_LENGTH_OK} + 0.20::DOUBLE * (1 - least(coalesce(repeats::DOUBLE / grams, 0), 1)) + 0.05::DOUBLE * least({_COMPLEX} / 1.5::DOUBLE, 1)
   + 0.05::DOUBLE * {_ASCII} + 0.20::DOUBLE * {_PROSE} + 0.15::DOUBLE * 0.5::DOUBLE + 0.10::DOUBLE * {_GOPHER}) AS score FROM documents LEFT JOIN rep USING (doc_id))"""
@@ -140,7 +140,9 @@ def line_shape(spark, table):
 
 @query("SELECT doc_id, " + ", ".join(f"{v} AS {k}" for k, v in _FLAGS.items()) + f", {_GOPHER} AS gopher_score FROM documents")
 def gopher(spark, table):
-    return table("documents").select("doc_id", *[c.alias(k) for k, c in tx.gopher_flags(_t()).items()], tx.gopher_score(_t()).alias("gopher_score"))
+    flags = tx.gopher_flags(_t(), True)
+    rows = tx.bound(table("documents").select("doc_id", "text")).select("doc_id", *[c.alias(k) for k, c in flags.items()])
+    return rows.select("*", tx.mean_of_flags([F.col(k) for k in flags]).alias("gopher_score"))
 
 
 @query(f"SELECT doc_id, {_PROSE} AS parse_ok FROM documents")
@@ -153,9 +155,12 @@ def parse_ok_json(spark, table):
     return table("events").select("event_id", score.parse_ok(F.col("props"), F.lit("JSON")).alias("parse_ok"))
 
 
-@query("SELECT doc_id, sha256(text) AS content_hash, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines, octet_length(encode(text)) AS n_bytes FROM documents WHERE text <> ''")
+_N_LINES = "CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END"
+
+
+@query(f"SELECT doc_id, sha256(text) AS content_hash, {_N_LINES} AS n_lines, octet_length(encode(text)) AS n_bytes FROM documents")
 def content_hash(spark, table):
-    return table("documents").where("text <> ''").select("doc_id", tx.content_hash(_t()).alias("content_hash"), tx.n_lines(_t()).alias("n_lines"), F.octet_length(_t()).alias("n_bytes"))
+    return table("documents").select("doc_id", tx.content_hash(_t()).alias("content_hash"), tx.n_lines(_t()).alias("n_lines"), F.octet_length(_t()).alias("n_bytes"))
 
 
 @query(rf"SELECT doc_id, CASE WHEN regexp_matches(substr(text, 1, 2048), '[A-Za-z]') AND NOT regexp_matches(regexp_replace(substr(text, 1, 2048), '[A-Za-z]', '', 'g'), '\p{{L}}') THEN 'en' END AS language FROM documents")
@@ -265,7 +270,7 @@ def dup_families_topk(spark, table):
 
 _BYTES = "b AS (SELECT doc_id, i, ('0x' || substr(h, 2 * i - 1, 2))::INT AS v FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range(1, octet_length(encode(text)) + 1)) AS i FROM documents))"
 _GRAMS = f"""{_BYTES}, g AS (SELECT doc_id, i, v AS a, lead(v, 1) OVER w AS c, lead(v, 2) OVER w AS d, lead(v, 3) OVER w AS e, lead(v, 4) OVER w AS f FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-  x AS (SELECT DISTINCT doc_id, ((5 + 5 * a + 4 * c + 3 * d + 2 * e + f)::BIGINT << 16) | (1 + a + c + d + e + f) AS h FROM g WHERE f IS NOT NULL AND i <= 20000 AND greatest(a, c, d, e, f) > 32)"""
+  x AS (SELECT DISTINCT doc_id, ((5 + 5 * a + 4 * c + 3 * d + 2 * e + f)::BIGINT << 16) | (1 + a + c + d + e + f) AS h FROM g WHERE f IS NOT NULL AND greatest(a, c, d, e, f) > 32)"""
 
 
 @query(f"WITH {_GRAMS} SELECT doc_id, count(h) AS n_shingles, coalesce(sum(h), 0)::BIGINT AS total FROM documents LEFT JOIN x USING (doc_id) GROUP BY doc_id")
@@ -280,22 +285,15 @@ def adler_shingles(spark, table):
     return table("documents").select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, total long")
 
 
-_FIRST = signals.coefficients(4)
-_MINS = ", ".join(f"coalesce(min(({a}::HUGEINT * h + {b}) % {signals.PRIME}), {signals.PRIME})::BIGINT AS m{i}" for i, (a, b) in enumerate(_FIRST))
+_MINS = ", ".join(f"coalesce(min(({a}::UBIGINT * h + {b}::UBIGINT) % {signals.PRIME}::UBIGINT), {signals.PRIME})::BIGINT AS m{i}" for i, (a, b) in enumerate(signals.coefficients()))
 
 
-@query(f"WITH {_GRAMS} SELECT doc_id, {_MINS} FROM documents LEFT JOIN x USING (doc_id) GROUP BY doc_id")
+@query(f"WITH {_GRAMS}, u AS (SELECT doc_id, h::UBIGINT AS h FROM x) SELECT doc_id, {_MINS} FROM documents LEFT JOIN u USING (doc_id) GROUP BY doc_id")
 def minhash_signature(spark, table):
-    """The first four of the 128 values: a prefix of the signature is the signature of a prefix of the coefficients."""
-    s = signals.text_signals(repetition=False, sim=False, n_perm=4)
-    return table("documents").select("doc_id", s(_t()).alias("s")).select("doc_id", *[F.col("s.minhash")[i].alias(f"m{i}") for i in range(4)])
-
-
-@query()
-def minhash_full_signature(spark, table):
-    """All 128 values; minhash_signature has the prefix that SQL can give."""
+    """All 128 values."""
     s = signals.text_signals(repetition=False, sim=False)
-    return table("documents").select("doc_id", s(_t()).alias("s")).select("doc_id", F.col("s.minhash").alias("minhash"))
+    rows = table("documents").select("doc_id", s(_t()).alias("s")).select("doc_id", F.col("s.minhash").alias("s"))
+    return rows.select("doc_id", *[F.col("s")[i].alias(f"m{i}") for i in range(128)])
 
 
 @query()
@@ -373,13 +371,14 @@ def allowlist_anti(spark, table):
 # chunks and records
 
 
-@query("SELECT doc_id, length(text) AS n_chars, sha256(text) AS joined FROM documents WHERE text <> ''")
+@query("SELECT doc_id, length(text) AS n_chars, sha256(text) AS joined FROM documents")
 def chunk_tiling(spark, table):
-    """Chunks without overlap, joined up again."""
+    """Chunks without overlap, joined up again; the empty text has none."""
     rows = ck.chunk(table("documents").select("doc_id", "text"), policy=ck.Policy(target=200, overlap=0, minimum=50, semantic=True))
     part = F.sort_array(F.collect_list(F.struct("chunk_id", "text")))
     joined = rows.groupBy("doc_id").agg(F.array_join(F.transform(part, lambda x: x["text"]), "").alias("t"), F.max("end").cast("long").alias("n_chars"))
-    return joined.select("doc_id", "n_chars", tx.content_hash(F.col("t")).alias("joined"))
+    every = table("documents").select("doc_id").join(joined, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("n_chars", F.lit(0).cast("long")).alias("n_chars"), tx.content_hash(F.coalesce("t", F.lit(""))).alias("joined"))
 
 
 @query()
@@ -387,10 +386,10 @@ def chunk_docs(spark, table):
     return ck.chunk(table("documents").select("doc_id", "text", "lang"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS bytes, length(text) - length(replace(text, chr(10), '')) + 1 AS nlines, source, 'Text' AS lang, '2' AS schema_version FROM documents WHERE text <> ''")
+@query("SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS bytes, length(text) - length(replace(text, chr(10), '')) + (text <> '')::INT AS nlines, source, 'Text' AS lang, '2' AS schema_version FROM documents")
 def record_meta(spark, table):
     docs = table("documents").select("doc_id", "text", "source", F.col("lang").alias("language"))
-    rows = records.build(docs.where("text <> ''"))
+    rows = records.build(docs)
     return rows.select("doc_id", *[F.col(f"meta.{c}").alias(c) for c in ("sha256", "bytes", "nlines", "source", "lang", "schema_version")])
 
 
@@ -429,10 +428,10 @@ def size_buckets(spark, table):
     return rows.select("source", "n", stats.size_bucket(F.col("n")).alias("size_category"), stats.multilinguality(F.col("langs")).alias("multilinguality"))
 
 
-@query("SELECT count(*) AS num_examples, sum(octet_length(encode(text))) AS num_bytes, array_to_string(list_sort(list(DISTINCT lang)), ',') AS language FROM documents WHERE text <> ''")
+@query("SELECT count(*) AS num_examples, sum(octet_length(encode(text))) AS num_bytes, array_to_string(list_sort(list(DISTINCT lang)), ',') AS language FROM documents")
 def card_totals(spark, table):
     """Fragments of two splits, merged."""
-    docs = records.build(table("documents").where("text <> ''").select("doc_id", "text", F.col("lang").alias("language")))
+    docs = records.build(table("documents").select("doc_id", "text", F.col("lang").alias("language")))
     parts = [card.fragment(docs.where(F.col("doc_id") % 2 == k), f"part{k}", s) for k, s in enumerate(("train", "test"))]
     return card.merge(parts[0].unionByName(parts[1])).select("num_examples", "num_bytes", F.array_join("language", ",").alias("language"))
 

@@ -35,20 +35,24 @@ def windowed_counts(stream: DataFrame, size: str = "1 hour", delay: str = "1 hou
     return stream.withWatermark(time, delay).groupBy(w).agg(F.count("*").alias("records"), F.sum(F.length("text")).alias("chars")).select(F.col("window.start").alias("start"), "records", "chars")
 
 
-def into_store(stream: DataFrame, store: dedup.Store, out: str, checkpoint: str, trigger: dict | None = None):
-    """A started query that writes rows the store doesn't know to ``out`` and their signatures to the store.
+def store_batch(df: DataFrame, store: dedup.Store, out: str, number: int, name: str) -> None:
+    """Writes the rows of a batch that the store doesn't know to ``out/batch=number``, and their signatures to the store under ``name``.
 
-    A batch that is run again after a failure finds its own signatures; its files are then written under the same
-    batch number in place of the first ones.
+    Signatures that an earlier, failed run of the same batch stored are no match, so the batch is written again whole.
     """
+    rows = dedup.Tables(df.sparkSession, "stream").keep(df.where("doc_id is not null and text is not null"), "rows")
+    sk = dedup.sketches(rows, sim=False)
+    known = store.check(sk, name).where("global_dup").select("doc_id")
+    new = rows.join(known, "doc_id", "left_anti")
+    dedup.drop_exact(new).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    store.add(sk, name)
+
+
+def into_store(stream: DataFrame, store: dedup.Store, out: str, checkpoint: str, trigger: dict | None = None):
+    """A started query that writes rows the store doesn't know to ``out`` and their signatures to the store, batch by batch (see store_batch)."""
 
     def batch(df: DataFrame, number: int) -> None:
-        rows = dedup.Tables(df.sparkSession, "stream").keep(df.where("doc_id is not null and text is not null"), "rows")
-        sk = dedup.sketches(rows, sim=False)
-        known = store.check(sk).where("global_dup").select("doc_id")
-        new = rows.join(known, "doc_id", "left_anti")
-        dedup.drop_exact(new).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        store.add(sk)
+        store_batch(df, store, out, number, f"{checkpoint}#{number}")
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(**trigger) if trigger else w).start()

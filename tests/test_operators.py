@@ -172,11 +172,46 @@ def test_top_families(spark):
     assert got == [(0, 4, [0, 3, 6]), (1, 3, [1, 4, 7])]
 
 
-def test_full_minhash_signature_equals_brute_force(spark, tmp_path):
+def test_minhash_signature_equals_brute_force(spark, tmp_path):
     texts = {1: "the quick brown fox jumps over the lazy dog " * 3, 2: "", 3: None, 4: "short", 5: "Ünïcode words, and more of them"}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.minhash for r in catalog.QUERIES["minhash_full_signature"](spark, str(tmp_path)).collect()}
-    assert got.pop(3) is None  # a null text has no signature
+    got = {r.doc_id: [r[f"m{i}"] for i in range(128)] for r in catalog.QUERIES["minhash_signature"](spark, str(tmp_path)).collect()}
+    assert got.pop(3) == [None] * 128  # a null text has no signature
     for i in got:
         h = [int(x) for x in signals.shingle_hashes(texts[i])]
         assert got[i] == [min(((int(a) * x + int(b)) % signals.PRIME for x in h), default=signals.PRIME) for a, b in signals.coefficients(128)]
+
+
+def test_a_batch_run_again_is_written_again(spark, tmp_path):
+    """A batch that failed after its signatures were stored comes back whole."""
+    from corpusloom.streaming import ingest
+
+    store = dedup.Store(spark, str(tmp_path / "s"))
+    base = "some words of a long text that two rows of one batch share but for the end " * 4
+    first = spark.createDataFrame([("a", base + "one", None), ("b", base + "one", None), ("c", base + "two", None), ("d", "something else altogether " * 9, None)], ingest.SCHEMA)
+    written = lambda n: sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/out/batch={n}").collect())
+    ingest.store_batch(first, store, f"{tmp_path}/out", 0, "q#0")
+    assert written(0) == ["a", "c", "d"]
+    ingest.store_batch(first, store, f"{tmp_path}/out", 0, "q#0")
+    assert written(0) == ["a", "c", "d"] and store.signatures().count() == 3
+    later = spark.createDataFrame([("e", base + "one", None), ("f", "new words only here " * 9, None)], ingest.SCHEMA)
+    for _ in range(2):
+        ingest.store_batch(later, store, f"{tmp_path}/out", 1, "q#1")
+        assert written(1) == ["f"]
+    again = {r.doc_id: r.match_id for r in store.check(dedup.sketches(first, sim=False)).collect()}
+    assert again["d"] is None and again["a"] == "c" and again["b"] == "a"
+
+
+def test_whole_texts_count_unless_a_bound_is_set(spark):
+    """Texts that differ only beyond the old bounds have signatures of their own."""
+    head = " ".join(f"head{i}" for i in range(30_000))
+    rows = [(1, head + " tail of one kind"), (2, head + " quite another ending"), (3, head[:330_000] * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r for r in dedup.sketches(df).collect()}
+    assert whole[1].minhash != whole[2].minhash
+    capped = {r.doc_id: r for r in dedup.sketches(df, max_tokens=20_000, max_shingles=20_000).collect()}
+    assert capped[1].minhash == capped[2].minhash and capped[1].simhash == capped[2].simhash
+    rep = lambda n: {r.doc_id: r.s.repeats for r in df.select("doc_id", signals.text_signals(sim=False, min_hash=False, max_grams=n)(df.text).alias("s")).collect()}[3]
+    brute = len(rows[2][1]) - 15 - len({rows[2][1][i : i + 16] for i in range(len(rows[2][1]) - 15)})
+    assert rep(None) == brute > 200_000 and rep(20_000) == 0
+    assert screen.quality(df).where("parse_ok = 1").count() == 3
