@@ -97,6 +97,23 @@ def _spans(flag: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
+def _token_hashes(low: bytes, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """token_hash of each span; Python sees each distinct token once (by its first 16 bytes, longer ones one by one)."""
+    b = np.frombuffer(low + bytes(16), np.uint8)
+    size = e - s
+    head = b[s[:, None] + np.arange(16)]
+    head[np.arange(16) >= size[:, None]] = 0
+    pair = np.ascontiguousarray(head).view("<u8")
+    key = pair[:, 0] * np.uint64(_BASE) ^ (pair[:, 1] + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    _, first, back = np.unique(key, return_index=True, return_inverse=True)
+    made = np.array([token_hash(low[x:y]) for x, y in zip(s[first].tolist(), e[first].tolist(), strict=True)], np.uint64)
+    # a key stands for one token unless two share it: then, as for long tokens, each is hashed on its own
+    odd = np.flatnonzero((size > 16) | (pair != pair[first][back]).any(1))
+    out = made[back]
+    out[odd] = [token_hash(low[x:y]) for x, y in zip(s[odd].tolist(), e[odd].tolist(), strict=True)]
+    return out
+
+
 def simhashes(data: bytes, off: np.ndarray, most: int | None = None) -> np.ndarray:
     """64-bit SimHash (signed) of each row of UTF-8 bytes; 0 without tokens.
 
@@ -112,8 +129,7 @@ def simhashes(data: bytes, off: np.ndarray, most: int | None = None) -> np.ndarr
     s = np.concatenate([letters, [len(b)]])[np.searchsorted(letters, s)]
     good = e - s >= 4
     s, e = s[good], e[good]
-    low = data.lower()  # ASCII only: bytes
-    h = np.array([token_hash(low[x:y]) for x, y in zip(s.tolist(), e.tolist(), strict=True)], np.uint64)
+    h = _token_hashes(data.lower(), s, e)
     row = np.searchsorted(off, s, "right") - 1
     row, h = row[h != 0], h[h != 0]
     if most is not None:
@@ -139,21 +155,28 @@ def shingle_rows(data: bytes, off: np.ndarray, k: int = 5, most: int | None = No
     n = len(b) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    low, high, seen = np.ones(n, np.int64), np.full(n, k, np.int64), np.zeros(n, bool)
+    low, high, seen = np.ones(n, np.int32), np.full(n, k, np.int32), np.zeros(n, bool)
     for i in range(k):
         part = b[i : i + n]
         low += part
-        high += (k - i) * part.astype(np.int64)
+        high += (k - i) * part.astype(np.int32)
         seen |= part > 32
-    at = np.flatnonzero(seen)
-    row = np.searchsorted(off, at, "right") - 1
-    good = at + k <= off[row + 1]
-    if most is not None:
-        good &= at - off[row] < most
-    at, row = at[good], row[good]
-    h = (high[at] % 65521 << 16 | low[at] % 65521).astype(np.uint64)
-    key = np.unique(row.astype(np.uint64) << np.uint64(32) | h)
-    return (key >> np.uint64(32)).astype(np.int64), key & np.uint64(0xFFFFFFFF)
+    if k > 22:  # below, the sums can't reach the modulus
+        low %= 65521
+        high %= 65521
+    size = np.diff(off)
+    inside = np.arange(len(b)) - np.repeat(off[:-1], size)
+    last = np.repeat(size - k if most is None else np.minimum(size - k, most - 1), size)
+    keep = seen & (inside <= last)[:n]
+    h = (high.astype(np.uint32) << np.uint32(16) | low.astype(np.uint32))[keep]
+    ends = np.concatenate([[0], np.cumsum(keep)])[np.minimum(off, n)]
+    new = np.ones(len(h), bool)
+    for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        h[i:j].sort()
+    new[1:] = h[1:] != h[:-1]
+    new[ends[:-1][ends[:-1] < len(h)]] = True
+    row = np.repeat(np.arange(len(size)), np.diff(ends))
+    return row[new], h[new].astype(np.uint64)
 
 
 def shingle_hashes(text: str, k: int = 5, most: int | None = None) -> np.ndarray:

@@ -272,3 +272,33 @@ def test_licence_by_repository(spark):
     rows = [("r1", "a.py", "# SPDX-License-Identifier: MIT"), ("r1", "b.py", "x"), ("r2", "x.txt", "none"), (None, "a.py", None)]
     got = {r.repo: r.license for r in licence.by_repository(spark.createDataFrame(rows, "repo string, path string, text string")).collect()}
     assert got == {"r1": "MIT", "r2": None}
+
+
+def test_batch_signals_equal_brute_force():
+    import random
+    import re
+    import zlib
+    from hashlib import blake2b
+
+    def plain_simhash(text):
+        votes, n = [0] * 64, 0
+        for m in re.finditer(r"[A-Za-z]\w{2,}", text, re.A):
+            t = m[0].lower().encode()
+            if len(t) >= 4 and t not in signals._COMMON:
+                x, n = int.from_bytes(blake2b(t, digest_size=8).digest(), "little"), n + 1
+                votes = [v + (x >> i & 1) for i, v in enumerate(votes)]
+        r = sum(1 << i for i in range(64) if 2 * votes[i] > n)
+        return r - (1 << 64) if r >> 63 else r
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(["a", "Bc", "_", "9", "é", " ", "with", "Longtoken_withmanychars", "\n", "zz"]) for _ in range(rng.randrange(0, 60))) for _ in range(300)]
+    raw = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    assert signals.simhashes(b"".join(raw), off).tolist() == [plain_simhash(t) for t in texts]
+    for most in (None, 7):
+        row, h = signals.shingle_rows(b"".join(raw), off, 5, most)
+        for i, r in enumerate(raw):
+            places = range(len(r) - 4) if most is None else range(min(most, len(r) - 4))
+            assert h[row == i].tolist() == sorted({zlib.adler32(r[k : k + 5]) for k in places if any(c > 32 for c in r[k : k + 5])})
+    again, _ = signals.repeat_counts(texts, 3)
+    assert again.tolist() == [len(t) - 2 - len({t[i : i + 3] for i in range(len(t) - 2)}) if len(t) >= 6 else 0 for t in texts]
