@@ -110,4 +110,5 @@ def pack(docs: DataFrame, window: int = WINDOW, tokens: str | None = None, shard
         at, part, win, offset, n = (np.array(x) for x in zip(*rows, strict=True))
         return pd.DataFrame({"shard": np.int32(shard), "window_id": win, "offset": offset.astype(np.int32), "doc_id": ids[at], "part": part.astype(np.int32), "part_start": part.astype(np.int64) * window, "n_tokens": n.astype(np.int32)})
 
-    return only.groupBy("shard").applyInPandas(run, SCHEMA)
+    # one task a shard: left to itself, adaptive execution merges small shards into a few tasks
+    return only.repartition(shards, "shard").groupBy("shard").applyInPandas(run, SCHEMA)

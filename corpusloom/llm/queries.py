@@ -73,5 +73,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op8_warc": "SELECT page_id, url, 'ok' AS status, html FROM pages",
+    "op8_warc": "SELECT page_id, coalesce(url, '') AS url, 'ok' AS status, coalesce(html, '') AS html FROM pages",
 }

@@ -2,8 +2,8 @@
 
 A record that was cut into segments (ISO 28500, section 7) is a first record
 with WARC-Segment-Number 1 and continuation records that name it in
-WARC-Segment-Origin-ID.  Segments are grouped by the origin's identifier in one
-shuffle, ordered by number and joined; the total is verified against
+WARC-Segment-Origin-ID.  Segments are parsed once and grouped by the origin's identifier in one
+shuffle (equal repeats collapse before it), ordered by number and joined; the total is verified against
 WARC-Segment-Total-Length of the last one.  An HTTP response is then split at
 its header and, if its Transfer-Encoding ends in chunked, its framing decoded.
 
@@ -17,8 +17,12 @@ without one to report.  Two origins never mix: the identifier is the only key; o
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORDS = "record_id string, type string, target_uri string, segment_number int, origin_id string, total_length long, payload binary, damaged boolean"
@@ -66,6 +70,89 @@ def split_file(data: bytes) -> list[bytes]:
     return out
 
 
+def _inflated(f, chunk: int) -> Iterator[bytes]:
+    """The bytes of a file, those of its gzip members if it has them; a damaged member ends it."""
+    raw = f.read(chunk)
+    member = zlib.decompressobj(31) if raw[:2] == b"\x1f\x8b" else None
+    while raw:
+        if member is None:
+            yield raw
+            raw = f.read(chunk)
+            continue
+        try:
+            out = member.decompress(raw, 8 * chunk)
+        except zlib.error:
+            return
+        if out:
+            yield out
+        if member.eof:
+            raw, member = member.unused_data or f.read(chunk), zlib.decompressobj(31)
+        else:
+            raw = member.unconsumed_tail or f.read(chunk)
+
+
+def stream_records(f, chunk: int = 1 << 20) -> Iterator[bytes]:
+    """The records of a file object, gzip members or plain, one by one; what can't be read to the end is the last one."""
+    source, data = _inflated(f, chunk), b""
+
+    def fill() -> bool:
+        nonlocal data
+        got = next(source, b"")
+        data += got
+        return bool(got)
+
+    while True:
+        while data[:2] in (b"\r\n", b"\r", b""):
+            if data[:2] == b"\r\n":
+                data = data[2:]
+            elif not fill():
+                if data:
+                    yield data
+                return
+        while (end := data.find(b"\r\n\r\n")) < 0 and fill():
+            pass
+        try:
+            size = next(int(line.partition(b":")[2]) for line in data[: max(end, 0)].lower().split(b"\r\n") if line.startswith(b"content-length:"))
+            if size < 0:
+                raise ValueError
+        except (StopIteration, ValueError):
+            while fill():
+                pass
+            yield data
+            return
+        parts = [data]  # a long record is joined once
+        while sum(map(len, parts)) < end + 4 + size:
+            data = b""
+            if not fill():
+                break
+            parts.append(data)
+        data = b"".join(parts)
+        yield data[: end + 4 + size]
+        data = data[end + 4 + size :]
+
+
+def read_files(spark: SparkSession, path: str, batch_bytes: int = 8 << 20) -> DataFrame:
+    """Raw records (column record) of .warc and .warc.gz files (a file, folder or pattern): a task streams its files, so none is held whole."""
+    paths = spark.read.format("binaryFile").load(path).select("path")  # contents aren't read
+    n = paths.count()
+
+    def run(batches):
+        for b in batches:
+            for uri in b.column(0).to_pylist():
+                fs, name = pa.fs.FileSystem.from_uri(uri.replace("file:///", "file:/").replace("file:/", "file:///"))
+                held, size = [], 0
+                with fs.open_input_file(name) as f:
+                    for r in stream_records(f):
+                        held.append(r)
+                        size += len(r)
+                        if size >= batch_bytes:
+                            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["record"])
+                            held, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["record"])
+
+    return paths.repartition(max(1, n), "path").mapInArrow(run, "record binary")
+
+
 def records(raw: DataFrame, column: str = "record") -> DataFrame:
     """Parsed records of a column that holds one record's bytes a row."""
     schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("target_uri", pa.string()), ("segment_number", pa.int32()), ("origin_id", pa.string()), ("total_length", pa.int64()), ("payload", pa.binary()), ("damaged", pa.bool_())])
@@ -141,17 +228,21 @@ def _whole(segments: list[dict]) -> tuple[str, bytes]:
 
 def reassemble(parsed: DataFrame) -> DataFrame:
     """One row of PAGES for each origin (and one for each damaged record)."""
-    good = parsed.where("not damaged")
-    key = F.coalesce("origin_id", "record_id")
-    part = F.struct("segment_number", "total_length", "payload", F.when(F.col("origin_id").isNull(), F.col("target_uri")).alias("uri"))
-    keyed = good.where(key.isNotNull()).groupBy(key.alias("record_id")).agg(F.collect_list(part).alias("segments"))
-    alone = good.where(key.isNull()).select(F.lit(None).cast("string").alias("record_id"), F.array(part).alias("segments"))
+    own = F.coalesce("origin_id", "record_id")
+    # damaged records and those without an identifier are groups of their own
+    number = F.when(own.isNull() | F.col("damaged"), F.monotonically_increasing_id())
+    part = F.struct("segment_number", "total_length", "payload", F.when(F.col("origin_id").isNull(), F.col("target_uri")).alias("uri"), "damaged")
+    keyed = parsed.select(F.when(~F.col("damaged"), own).alias("record_id"), number.alias("number"), part.alias("part"))
+    grouped = keyed.groupBy("record_id", "number").agg(F.collect_set("part").alias("segments")).select("record_id", "segments")
     schema = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("n_segments", pa.int32()), ("http_status", pa.int32()), ("status", pa.string()), ("body", pa.binary())])
 
     def run(batches):
         for b in batches:
             rows = []
             for name, segments in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if segments[0]["damaged"]:
+                    rows.append((None, None, 0, None, "bad record", None))
+                    continue
                 status, joined = _whole(segments)
                 code = body = None
                 if status == "ok":
@@ -163,9 +254,7 @@ def reassemble(parsed: DataFrame) -> DataFrame:
                 rows.append((name, uris[0] if uris else None, len({s["segment_number"] for s in segments}), code, status, body))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, schema.types, strict=True)], schema=schema)
 
-    found = keyed.unionByName(alone).mapInArrow(run, PAGES)
-    bad = parsed.where("damaged").select(F.lit(None).cast("string").alias("record_id"), F.lit(None).cast("string").alias("target_uri"), F.lit(0).alias("n_segments"), F.lit(None).cast("int").alias("http_status"), F.lit("bad record").alias("status"), F.lit(None).cast("binary").alias("body"))
-    return found.unionByName(bad)
+    return grouped.mapInArrow(run, PAGES)
 
 
 def write_records(name: str, url: str, html: bytes, segment: int, chunk: int) -> list[bytes]:

@@ -67,3 +67,35 @@ def test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.record_id: (r.target_uri, bytes(r.body).decode()) for r in warc.reassemble(warc.records(warc.from_pages(pages))).collect()}
     assert got == {f"<urn:page:{r.page_id}>": (r.url, r.html) for r in pages.collect()}
+
+
+def test_files_are_streamed(spark, tmp_path):
+    """Plain, gzip with a member a record, one gzip over all, and cut-off files; segments of one page lie in two files."""
+    import gzip
+
+    pages = {f"p{i}": (b"<p>%d</p>" % i) * 1500 * (i % 3) for i in range(12)}
+    pages["long"] = b"z" * 5_000_000
+    raws = [r for n, b in pages.items() for r in warc.write_records(n, f"http://x/{n}", b, 7000 if n != "long" else 6_000_000, 1000)]
+    a, b, c = raws[:9], raws[9:16], raws[16:]
+    (tmp_path / "a.warc").write_bytes(b"".join(a))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in b))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(c)))
+    read = warc.read_files(spark, f"{tmp_path}/*")
+    assert sorted(bytes(r.record).rstrip() for r in read.collect()) == sorted(r.rstrip() for r in raws)
+    got = {r.record_id: r for r in warc.reassemble(warc.records(read)).collect()}
+    assert {k: (r.status, bytes(r.body)) for k, r in got.items()} == {f"<urn:{n}>": ("ok", b) for n, b in pages.items()}
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "cut.warc.gz").write_bytes(gzip.compress(a[0]) + gzip.compress(a[1])[:-20])
+    (tmp_path / "d" / "empty.warc").write_bytes(b"")
+    (tmp_path / "d" / "odd.warc").write_bytes(a[2] + b"garbage without a header")
+    rows = [bytes(r.record) for r in warc.read_files(spark, f"{tmp_path}/d/*").collect()]
+    assert a[0].rstrip() in [r.rstrip() for r in rows] and a[2].rstrip() in [r.rstrip() for r in rows] and b"garbage without a header" in rows
+    assert sum(warc.parse_record(r) is not None for r in rows) == 2
+
+
+def test_repeated_long_records_and_other_columns(spark):
+    """A hot identifier: equal repeats of a long record are one; columns named like the operator's own aren't read."""
+    raws = warc.write_records("hot", "http://h", b"w" * 300_000, 100_000, 5000) * 40 + warc.write_records("cold", "http://c", b"", 100, 10)
+    rows = spark.createDataFrame([(bytearray(r), "r", 1, b"p", True) for r in raws], "record binary, record_id string, number int, payload binary, damaged boolean")
+    got = {r.record_id: (r.status, len(r.body)) for r in warc.reassemble(warc.records(rows)).collect()}
+    assert got == {"<urn:hot>": ("ok", 300_000), "<urn:cold>": ("ok", 0)}
