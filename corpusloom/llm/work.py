@@ -1,41 +1,20 @@
-"""Durable intermediate tables and size-checked joins.
-
-Intermediate results are Parquet tables below the folder that the cluster names
-in ``spark.checkpoint.dir`` (shared by all executors), so a lost executor costs
-no recomputation and lineage stays short.  Only where that setting is absent, as
-in tests on one machine, a folder of our own is set.
-"""
+"""Intermediate tables of the training-data operators: the library's durable tables, and what else these operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A side of a join is broadcast only if its measured rows times its row width stay below this.
-BROADCAST_BYTES = 32 << 20
+from pyspark.sql import DataFrame
 
+from corpusloom.workspace import BROADCAST_BYTES, Tables, small
 
-def shared_folder(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+__all__ = ["BROADCAST_BYTES", "Workspace", "fresh", "parts", "small"]
 
 
-class Workspace:
+class Workspace(Tables):
     """A folder of intermediate tables of one run."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+    table = Tables.keep
 
     def drop(self, name: str) -> None:
         """Deletes a table that no later step reads."""
@@ -43,11 +22,6 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, width: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df (a materialised table), marked for broadcast if its measured size allows it; beyond that Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() * width <= limit else df
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have."""
     taken, name = {c.lower() for c in df.columns}, base

@@ -57,3 +57,43 @@ def test_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= names
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def write_tables(spark, folder, docs, labels):
+    wide = [(*d, "x", 1, "y", None if d[1] is None else len(d[1])) for d in docs]
+    spark.createDataFrame(wide, "doc_id long, text string, owner string, lead long, shard string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_defined_cases_of_all_stages(spark, tmp_path):
+    """Nulls, empty and blank texts, repeated rows and ids, copies, a very long text, clashing column names."""
+    import random
+
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)).capitalize() + "."
+    junk = lambda: "!!! ".join(rng.choice(["HOME", "CLICK", "$$$", "###"]) for _ in range(9)) + "!!!"
+    docs = [(i, prose(60)) for i in range(20)] + [(100 + i, junk()) for i in range(12)]
+    labels = [(i, 1, 0) for i in range(20)] + [(100 + i, 0, 0) for i in range(12)]
+    shared = prose(70)
+    docs += [(200, None), (201, ""), (202, " \n "), (None, prose(60)), (203, docs[3][1]), (204, prose(60)), (205, shared + " " + prose(150)), (206, prose(150) + " " + shared), (207, prose(40_000)), (5, prose(60))]
+    docs += [docs[4], docs[4]]
+    write_tables(spark, tmp_path, docs, labels)
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = {}
+    for r in rows:
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
+    assert set(got) == {*range(20), None, 204, 205, 206, 207}, "junk, blank texts, and the copy 203 of 3 go"
+    size = {}
+    for i, t in docs:
+        if i != 206 and t:
+            size.setdefault(i, set()).add(t)
+    for i in got:
+        if i != 206:
+            assert got[i] == sum((len(t) + 3) // 4 for t in size[i])
+    assert got[206] == (len(docs[-6][1]) - len(shared) + 3) // 4, "the passage of 205 is cut from 206"
+
+
+def test_empty_tables(spark, tmp_path):
+    write_tables(spark, tmp_path, [], [])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "window_id" in out.columns
