@@ -81,7 +81,7 @@ def enforce_error_rate(rows: DataFrame, failed: Column, most: float | None) -> N
 
 
 def modalities(exts: Column) -> Column:
-    """Sorted modality tags from an array of extensions (with dots)."""
+    """Sorted modality tags from an array of extensions (with dots); none at all counts as text."""
     groups = {"audio": (".flac", ".mp3", ".ogg", ".wav"), "image": (".bmp", ".gif", ".jpeg", ".jpg", ".png", ".tiff", ".webp"), "tabular": (".csv", ".db", ".parquet", ".sqlite", ".tsv"), "video": (".avi", ".mkv", ".mov", ".mp4", ".webm")}
     hit = [F.when(F.arrays_overlap(exts, F.array(*[F.lit(e) for e in sorted(v)])), k) for k, v in sorted(groups.items())]
     known = F.array(*[F.lit(e) for v in groups.values() for e in v])

@@ -68,8 +68,12 @@ class Config:
     decode_cap: int | None = None
     metadata: dict[str, str] = field(default_factory=dict)
     max_error_rate: float | None = None
+    #: Find the licence of each repository where neither a file nor ``metadata`` names one.
+    find_licences: bool = False
 
     def __post_init__(self):
+        if clash := {"text", "content", "path"} & set(self.metadata):
+            raise ValueError(f"metadata can't set {', '.join(sorted(clash))}")
         if self.max_error_rate is not None and not 0 <= self.max_error_rate <= 1:
             raise ValueError("max_error_rate must lie in 0..1")
         out = [s.options.get("path") for s in self.sinks]

@@ -11,19 +11,21 @@ from corpusloom.operators import stats
 
 
 def fragment(records: DataFrame, file: str, split: str = "train") -> DataFrame:
-    """One row about the records of an output: counts, bytes, languages, licences, extensions."""
+    """One row about the records of an output: counts, bytes, languages, licences, kinds, modalities of the paths."""
     m = F.col("meta")
+    ext = F.regexp_extract(F.lower(F.coalesce(m["path"], F.lit(""))), r"(\.[^./\\]+)$", 1)
+    modalities = F.array_sort(F.array_distinct(F.flatten(F.collect_set(stats.modalities(F.array(ext))))))
     langs, licences = F.array_sort(F.collect_set(m["language"])), F.array_sort(F.collect_set(m["license"]))
-    return records.agg(F.count("*").alias("num_examples"), F.coalesce(F.sum(m["bytes"]), F.lit(0)).alias("num_bytes"), langs.alias("language"), licences.alias("license"), F.array_sort(F.collect_set(m["kind"])).alias("kinds")).select(F.lit(file).alias("file"), F.lit(split).alias("split"), "*")
+    return records.agg(F.count("*").alias("num_examples"), F.coalesce(F.sum(m["bytes"]), F.lit(0)).alias("num_bytes"), langs.alias("language"), licences.alias("license"), F.array_sort(F.collect_set(m["kind"])).alias("kinds"), modalities.alias("modalities")).select(F.lit(file).alias("file"), F.lit(split).alias("split"), "*")
 
 
 def merge(fragments: DataFrame) -> DataFrame:
     """One row: splits with their totals, unions of the lists (sorted), size category, multilinguality."""
     splits = fragments.groupBy("split").agg(F.sum("num_examples").alias("num_examples"), F.sum("num_bytes").alias("num_bytes"))
     total = splits.agg(F.array_sort(F.collect_list(F.struct("split", "num_examples", "num_bytes"))).alias("splits"), F.sum("num_examples").alias("num_examples"), F.sum("num_bytes").alias("num_bytes"))
-    lists = fragments.agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("language", "license", "kinds")])
+    lists = fragments.agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("language", "license", "kinds", "modalities")])
     out = total.crossJoin(lists)  # one row each
-    return out.withColumns({"size_category": stats.size_bucket(F.col("num_examples")), "multilinguality": stats.multilinguality(F.col("language")), "modalities": F.array(F.lit("text"))})
+    return out.withColumns({"size_category": stats.size_bucket(F.col("num_examples")), "multilinguality": stats.multilinguality(F.col("language")), "modalities": F.when(F.size("modalities") > 0, F.col("modalities")).otherwise(F.array(F.lit("text")))})
 
 
 def _scalar(v) -> str:

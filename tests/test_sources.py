@@ -147,6 +147,8 @@ def test_run(spark, tree, tmp_path):
     assert result.summary["records"] == 6 and result.summary["screeners"]["quality"]["scored"] == 6
     lines = spark.read.json(str(tmp_path / "o1"))
     assert lines.where("meta.kind = 'run_header'").count() == 1
+    foot = lines.where("meta.kind = 'run_summary'").first()
+    assert json.loads(foot.meta.summary)["summary"]["records"] == 6
     back = sources.load(spark, "jsonl", path=str(tmp_path / "o1"))
     assert {r.path for r in back.where("text <> ''").collect()} == {"a.py", "B.md", "odd [1].txt", "sub/c.txt", "sub/keep.log", "big.txt"}
     assert spark.read.parquet(str(tmp_path / "o2")).where("lang = 'Python'").count() == 1
@@ -207,6 +209,38 @@ def test_transforms_and_error_rate(spark, tree, tmp_path):
     stats.enforce_error_rate(rows.where("text = 'none'"), F.col("text").isNull(), 0.0)
 
 
+def test_filled_licences_and_sinks(spark, tmp_path):
+    files = spark.createDataFrame([(1, ""), (2, "x"), (3, None)], "n int, repo string")
+    assert {r.n: r.repo for r in builder.filled(files, "repo", F.lit("mine")).collect()} == {1: "mine", 2: "x", 3: "mine"}
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.py").write_text("# SPDX-License-Identifier: BSD-3-Clause\nx = 1\n")
+    (src / "clip.png.txt").write_text("words of a caption\n")
+    taken = tmp_path / "taken"
+    taken.mkdir()
+    one = {"kind": "local_dir", "options": {"root": str(src)}}
+    c = {"sources": [one], "find_licences": True, "sinks": [{"kind": "parquet", "options": {"path": str(taken)}}, {"kind": "parquet", "options": {"path": str(tmp_path / "new")}}]}
+    result = builder.run(spark, config.from_dict(c))
+    assert {r[0] for r in result.records.select("meta.license").collect()} == {"BSD-3-Clause"}
+    assert list(result.failures) == [str(taken)] and result.summary["sink_errors"] == 1
+    assert spark.read.parquet(str(tmp_path / "new")).count() == 2
+    named = builder.run(spark, config.from_dict(c | {"metadata": {"license": "MIT"}, "sinks": []}))
+    assert {r[0] for r in named.records.select("meta.license").collect()} == {"MIT"}
+    with pytest.raises(Exception, match="exist"):
+        builder.run(spark, config.from_dict(c | {"sinks": c["sinks"][:1]}))
+    with pytest.raises(ValueError, match="metadata"):
+        config.from_dict({"metadata": {"text": "x"}})
+
+
+def test_card_modalities(spark):
+    rows = spark.createDataFrame([("a.PNG",), ("d/b.csv",), (None,)], "path string")
+    meta = F.struct("path", *[F.lit("x").alias(c) for c in ("language", "license", "kind")], F.lit(1).alias("bytes"))
+    found = card.merge(card.fragment(rows.select(meta.alias("meta")), "f")).first()
+    assert found.modalities == ["image", "tabular", "text"] and found.num_examples == 3
+    empty = card.merge(card.fragment(rows.where("path = 'x'").select(meta.alias("meta")), "f")).first()
+    assert empty.modalities == ["text"]
+
+
 def test_git_context(tmp_path):
     assert files.git_context(str(tmp_path)) == {}
     (tmp_path / ".git").mkdir()
