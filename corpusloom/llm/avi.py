@@ -7,7 +7,8 @@ intra frame and decoded alone; a frame of no bytes repeats the one before.  A
 shot starts at frame t where the histogram difference d(t) (half the sum of
 absolute differences of two normalised luma histograms) is at least ``FLOOR``
 and ``RATIO`` times the mean difference of the ``AROUND`` frames on each side,
-so the threshold adapts to how lively the surroundings are.
+so the threshold adapts to how lively the surroundings are.  It never rises above
+``FULL``: d is 1 where two frames share no level, so shots of one or two frames are found too.
 
 Defined cases: null or empty bytes give one row of status 'empty' with null
 clip columns; bytes that aren't a readable motion-JPEG AVI, one row whose status
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import jpeg
 
 BINS = 32
-FLOOR, RATIO, AROUND = 0.25, 3.0, 4
+FLOOR, RATIO, AROUND, FULL = 0.25, 3.0, 4, 0.8
 SCHEMA = "media_id long, clip int, start_frame int, end_frame int, start_s double, end_s double, width int, height int, status string"
 
 
@@ -122,7 +123,7 @@ def cuts(d: list[float]) -> list[int]:
     out = [0]
     for t in range(1, len(d)):
         near = d[max(1, t - AROUND) : t] + d[t + 1 : t + 1 + AROUND]
-        if d[t] >= FLOOR and d[t] >= RATIO * (sum(near) / len(near) if near else 0.0):
+        if d[t] >= max(FLOOR, min(FULL, RATIO * (sum(near) / len(near) if near else 0.0))):
             out.append(t)
     return out
 
