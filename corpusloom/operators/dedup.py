@@ -7,19 +7,26 @@ that says which of two rows comes first.  Rows with a null id or text take no pa
 from __future__ import annotations
 
 import json
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from corpusloom.functions import signals
 from corpusloom.functions import text as tx
-from corpusloom.workspace import Tables, numbered
+from corpusloom.workspace import Tables, numbered, released, small
 
 N_PERM, ROWS, THRESHOLD = 128, 4, 0.82
 WINDOW, HAMMING = 128, 4
+#: Rows of a bucket that are compared in one task, and the rounds in which the bands are taken.
+BUCKET_ROWS, ROUNDS = 16384, 8
+#: Groups of so many rows are compared as lists of so many pairs at a time, larger ones in square tiles.
+SMALL_GROUP, PAIRS, TILE = 64, 16384, 1024
 
 
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -87,23 +94,156 @@ def similarity(a: Column, b: Column, n_perm: int = N_PERM) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / n_perm
 
 
-def lsh_duplicates(spark: SparkSession, signatures: DataFrame, key: str = "doc_id", column: str = "minhash", threshold: float = THRESHOLD, n_perm: int = N_PERM) -> DataFrame:
+def _packed(signatures: DataFrame, key: str, column: str, n_perm: int) -> DataFrame:
+    """key, digest, s (the signature as bytes: the low 32 bits of each value, then a bit for 2**32) and its bands as band << 32 | value."""
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            v = b.column("s").flatten().to_numpy(zero_copy_only=False).reshape(-1, n_perm)
+            if v.min() < 0 or v.max() >> 33:
+                raise ValueError("signatures must hold values from 0 to 2**33 - 1")
+            raw = np.concatenate([v.astype("<u4").view(np.uint8), np.packbits((v >> 32).astype(np.uint8), axis=1)], axis=1)
+            keys = signals.band_keys(v, ROWS) | np.arange(n_perm // ROWS, dtype=np.int64) << 32
+            rows = [r.tobytes() for r in raw]
+            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * keys.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([blake2b(r, digest_size=16).digest() for r in rows], pa.binary()), pa.array(rows, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], [key, "digest", "s", "bands"])
+
+    rows = signatures.where(F.col(column).isNotNull() & F.col(key).isNotNull()).select(F.col(key), F.col(column).alias("s"))
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, digest binary, s binary, bands array<bigint>")
+
+
+def _equal_places(low: np.ndarray, high: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Equal places of each pair of rows."""
+    same = low[i] == low[j]
+    if high is not None:
+        same &= high[i] == high[j]
+    return np.count_nonzero(same, axis=1) if same.shape[1] % 8 else same.view(np.uint64).sum(1).view(np.uint8).reshape(len(i), 8).sum(1)
+
+
+def _best_earlier(first: np.ndarray, lead: np.ndarray, low: np.ndarray, high: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row: the most equal places with a row of its group before ``lead`` (the first row of its key), and the first such row; -1 without one.
+
+    first: the row at which a row's group starts.  Pairs of small groups are compared as lists, large groups in tiles.
+    """
+    n = len(first)
+    most, where = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    width = lead - first
+    starts = np.flatnonzero(first == np.arange(n))
+    size = np.diff(np.append(starts, n))
+    big = np.repeat(size > SMALL_GROUP, size)
+    rows = np.flatnonzero(~big & (width > 0))
+    ends, a = np.cumsum(width[rows]), 0
+    while a < len(rows):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - width[rows[a]] + PAIRS, "right")))
+        own = rows[a:b]
+        w = width[own]
+        at = np.cumsum(w) - w
+        i = np.repeat(own, w)
+        j = np.arange(len(i)) - np.repeat(at, w) + np.repeat(first[own], w)
+        score = _equal_places(low, high, i, j) * n + (n - 1 - j)  # ties to the earlier row
+        top = np.maximum.reduceat(score, at)
+        most[own], where[own] = top // n, n - 1 - top % n
+        a = b
+    for s, k in zip(starts[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist(), strict=True):
+        cols = np.ascontiguousarray(low[s : s + k].T)
+        ups = np.ascontiguousarray(high[s : s + k].T) if high is not None else None
+        for x in range(0, k, TILE):
+            y = min(k, x + TILE)
+            for u in range(0, y, TILE):
+                v = min(y, u + TILE)
+                acc = np.zeros((y - x, v - u), np.int16)
+                for c in range(len(cols)):
+                    same = cols[c, x:y, None] == cols[c, None, u:v]
+                    if ups is not None:
+                        same &= ups[c, x:y, None] == ups[c, None, u:v]
+                    acc += same
+                acc[s + np.arange(u, v)[None, :] >= lead[s + x : s + y, None]] = -1
+                at = acc.argmax(1)
+                found = acc[np.arange(y - x), at].astype(np.int64)
+                better = found > most[s + x : s + y]
+                most[s + x : s + y][better], where[s + x : s + y][better] = found[better], (s + u + at)[better]
+    return most, where
+
+
+def _best_in_buckets(entries: DataFrame, key: str, n_perm: int) -> DataFrame:
+    """key, places, other: of each row (bucket, tile, key, s) the best earlier one of its bucket and tile.  Memory holds a group or an Arrow batch."""
+    rows = entries.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", key)
+
+    def found(t: pa.Table):
+        bucket, tile, keys = (t.column(c).combine_chunks() for c in ("bucket", "tile", key))
+        raw = np.frombuffer(b"".join(t.column("s").to_pylist()), np.uint8).reshape(len(t), -1)
+        low, high = np.ascontiguousarray(raw[:, : 4 * n_perm]).view("<u4"), raw[:, 4 * n_perm :]
+        high = np.unpackbits(high, axis=1, count=n_perm) if high.any() else None
+        new = np.ones(len(t), bool)
+        bucket, tile = bucket.to_numpy(), tile.to_numpy()
+        new[1:] = (bucket[1:] != bucket[:-1]) | (tile[1:] != tile[:-1])
+        other = new.copy()
+        other[1:] |= pc.not_equal(keys.slice(1), keys.slice(0, len(t) - 1)).to_numpy(zero_copy_only=False)
+        place = np.arange(len(t))
+        most, where = _best_earlier(np.maximum.accumulate(np.where(new, place, 0)), np.maximum.accumulate(np.where(other, place, 0)), low, high)
+        have = np.flatnonzero(where >= 0)
+        for batch in pa.table({key: keys.take(pa.array(have)), "places": pa.array(most[have].astype(np.int32)), "other": keys.take(pa.array(where[have]))}).to_batches():
+            yield batch
+
+    def run(batches):
+        held = []
+        for b in batches:
+            if not len(b):
+                continue
+            edge = np.flatnonzero((np.diff(b.column("bucket").to_numpy()) != 0) | (np.diff(b.column("tile").to_numpy()) != 0))
+            last = held and (held[-1].column("bucket")[-1], held[-1].column("tile")[-1]) != (b.column("bucket")[0], b.column("tile")[0])
+            cut = int(edge[-1]) + 1 if len(edge) else 0
+            if held and (cut or last):
+                yield from found(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from found(pa.Table.from_batches([b.slice(0, cut)]))
+            held.append(b.slice(cut))
+        if held:
+            yield from found(pa.Table.from_batches(held))
+
+    kind = entries.schema[key].dataType.simpleString()
+    return rows.select("bucket", "tile", key, "s").mapInArrow(run, f"`{key}` {kind}, places int, other {kind}")
+
+
+def _tiles(key: str, most: int) -> Column:
+    """The tiles of a bucket that a row enters: one, or where a bucket has more than ``most`` rows, one for each pair of its parts, of ``most`` rows or so."""
+    parts = F.ceil(2 * F.col("n") / most).cast("long")
+    own = F.pmod(F.xxhash64(key), parts)
+    split = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), parts - 1), lambda q: q != own), lambda q: F.least(q, own) * parts + F.greatest(q, own))
+    return F.when(F.col("n") <= most, F.array(F.lit(0).cast("long"))).otherwise(split)
+
+
+def lsh_duplicates(spark: SparkSession, signatures: DataFrame, key: str = "doc_id", column: str = "minhash", threshold: float = THRESHOLD, n_perm: int = N_PERM, most: int = BUCKET_ROWS) -> DataFrame:
     """key, minhash_jaccard, minhash_of, near_dup_minhash for each row with an earlier row (smaller key) that shares a band.
 
     The best estimate over all such rows, ties to the smaller key.  Rows of equal signature are one row in the
-    band join: a later one's best partner is the first of them, with estimate 1.
+    bands: a later one's best partner is the first of them, with estimate 1.  Pairs are never written: the rows of a bucket
+    come together with their signatures and each keeps its best, a few bands at a time, so disk grows as the rows.
+    Buckets of more than ``most`` rows are compared in tiles by several tasks.
     """
     tables = Tables(spark, "lsh")
-    rows = tables.keep(signatures.where(F.col(column).isNotNull() & F.col(key).isNotNull()).select(F.col(key), F.col(column).alias("s"), F.xxhash64(column).alias("x")), "signatures")
-    heads = tables.keep(rows.groupBy("x", "s").agg(F.min(key).alias("head"), F.count("*").alias("n")), "heads")
-    copies = rows.join(heads.where("n > 1").select("x", "s", "head"), ["x", "s"]).where(F.col(key) > F.col("head")).select(F.col(key), F.lit(1.0).alias("j"), F.col("head").alias("other"))
-    keyed = bands(heads.select("head", F.col("s").alias(column)), "head", column)
-    right = keyed.select(F.col("head").alias("other"), "band", "value")
-    pairs = keyed.join(right, ["band", "value"]).where(F.col("other") < F.col("head")).select("head", "other").distinct()
-    sigs = heads.select("head", "s")
-    scored = pairs.join(sigs, "head").join(sigs.select(F.col("head").alias("other"), F.col("s").alias("os")), "other").select(F.col("head").alias(key), similarity(F.col("s"), F.col("os"), n_perm).alias("j"), "other")
-    best = scored.union(copies).groupBy(key).agg(F.min(F.struct((-F.col("j")).alias("d"), "other")).alias("m"))
-    return best.select(key, (-F.col("m.d")).alias("minhash_jaccard"), F.col("m.other").alias("minhash_of"), (-F.col("m.d") >= threshold).alias("near_dup_minhash"))
+    with released(spark):
+        rows = tables.keep(_packed(signatures, key, column, n_perm), "signatures")
+        firsts = rows.groupBy("digest").agg(F.min(key).alias("head"), F.count("*").alias("n")).where("n > 1").select("digest", "head")
+        copies = tables.keep(rows.select(key, "digest").join(firsts, "digest").where(F.col(key) > F.col("head")), "copies")
+        heads = rows.join(small(copies.select(key, "digest").distinct(), 64), [key, "digest"], "left_anti") if copies.take(1) else rows
+        heads = tables.keep(heads.select(F.monotonically_increasing_id().alias("id"), key, "s", "bands"), "heads")
+        each = heads.select("id", F.explode("bands").alias("bucket"))
+        shared = tables.keep(each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+        wanted = each.join(shared, "bucket").groupBy("id").agg(F.collect_list(F.struct("bucket", "n")).alias("w"))
+        work = tables.keep(heads.select("id", key, "s").join(wanted, "id").select(key, "s", "w"), "work")
+        bands_, best = n_perm // ROWS, copies.select(F.col(key), F.lit(n_perm).alias("places"), F.col("head").alias("other"))
+        step = -(-bands_ // ROUNDS)
+        of = lambda low: lambda x: x["bucket"].between(low << 32, (low + step << 32) - 1)
+        for low in range(0, bands_, step):
+            entries = work.select(key, "s", F.inline(F.filter("w", of(low)))).select(key, "s", "bucket", F.explode(_tiles(key, most)).alias("tile"))
+            best = best.union(tables.keep(_best_in_buckets(entries, key, n_perm), f"best{low}"))
+    best = best.groupBy(key).agg(F.min(F.struct((-F.col("places")).alias("d"), "other")).alias("m"))
+    j = -F.col("m.d") / n_perm
+    return best.select(key, j.alias("minhash_jaccard"), F.col("m.other").alias("minhash_of"), (j >= threshold).alias("near_dup_minhash"))
 
 
 def families(docs: DataFrame, sim: DataFrame, lsh: DataFrame, key: str = "doc_id") -> DataFrame:

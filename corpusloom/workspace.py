@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,18 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
 
+@contextmanager
+def released(spark: SparkSession):
+    """Shuffle files of a table written within go as soon as it is written, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def small(df: DataFrame, width: int) -> DataFrame:
     """df (a kept table), marked for broadcast if its measured size allows; beyond that Spark shuffles both sides."""
     return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df

@@ -215,3 +215,27 @@ def test_whole_texts_count_unless_a_bound_is_set(spark):
     brute = len(rows[2][1]) - 15 - len({rows[2][1][i : i + 16] for i in range(len(rows[2][1]) - 15)})
     assert rep(None) == brute > 200_000 and rep(20_000) == 0
     assert screen.quality(df).where("parse_ok = 1").count() == 3
+
+
+def test_lsh_hot_buckets(spark):
+    """A band that all rows share, copies and values above 32 bits: the same as brute force in lists, tiles and split buckets, and no pairs are joined."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sigs = rng.integers(0, 3, (300, 128)) + 10 * np.arange(128)
+    sigs[:, :4] = 7
+    sigs[250:] = rng.integers(0, 1 << 32, (50, 128))  # no band with the rest
+    sigs[260:270], sigs[280], sigs[:20, 5] = signals.PRIME, sigs[3], signals.PRIME
+    want = {}
+    keys = [signals.band_keys(x) for x in sigs]
+    for i in range(300):
+        best = max(((int((sigs[i] == sigs[j]).sum()), -j) for j in range(i) if (keys[i] == keys[j]).any()), default=None)
+        if best:
+            want[i] = (best[0] / 128, -best[1])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sigs)], "doc_id long, minhash array<bigint>")
+    for most in (16384, 60):
+        out = dedup.lsh_duplicates(spark, df, most=most)
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {r.doc_id: (r.minhash_jaccard, r.minhash_of) for r in out.collect()} == want
+    named = dedup.lsh_duplicates(spark, df.withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 4, "0")))
+    assert {int(r.doc_id): (r.minhash_jaccard, int(r.minhash_of)) for r in named.collect()} == want
