@@ -22,7 +22,9 @@ from pyspark.sql.types import DoubleType
 
 PRIME = 4294967311
 SEED = 0x5EED5EED
-RUN = 1 << 20
+RUN = 1 << 18
+#: Token hashes that a worker remembers, 10 MB or so; new words come without end as a corpus grows.
+KNOWN_TOKENS = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -81,7 +83,7 @@ def token_hash(token: bytes) -> int:
     """Of a lower-case token; 0 is kept for tokens that don't count."""
     h = _TOKENS.get(token)
     if h is None:
-        if len(_TOKENS) > 1_000_000:
+        if len(_TOKENS) >= KNOWN_TOKENS:
             _TOKENS.clear()
         h = _TOKENS[token] = int.from_bytes(blake2b(token, digest_size=8).digest(), "little") if token not in _COMMON else 0
     return h
@@ -240,17 +242,18 @@ def text_signals(repetition: bool = True, sim: bool = True, min_hash: bool = Tru
         out = {c: np.full(total, None, object) for c in ("repeats", "repetition", "simhash", "minhash")}
         have = np.flatnonzero(texts.notna().to_numpy())
         values = texts.iloc[have].tolist()
-        raw = [t.encode("utf-8", "surrogatepass") for t in values]
-        size = np.array([len(r) for r in raw], np.int64)
-        ends, i = np.cumsum(size), 0
-        while i < len(raw):
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] - size[i] + RUN, "right")))
-            at, off = have[i:j], np.concatenate([[0], np.cumsum(size[i:j])])
+        i = 0
+        while i < len(values):
+            raw, held, j = [], 0, i
+            while j < len(values) and (j == i or held + len(values[j]) <= RUN):  # only a run's bytes are held
+                raw.append(values[j].encode("utf-8", "surrogatepass"))
+                held, j = held + len(raw[-1]), j + 1
+            at, off = have[i:j], np.cumsum([0, *map(len, raw)])
             if repetition:
                 again, n = repeat_counts(values[i:j], k, max_grams)
                 out["repeats"][at], out["repetition"][at] = again, again / np.maximum(1, n)
             if sim or min_hash:
-                data = b"".join(raw[i:j])
+                data = b"".join(raw)
                 if sim:
                     out["simhash"][at] = simhashes(data, off, max_tokens)
                 if min_hash:
