@@ -60,7 +60,9 @@ def quality_decision(rows: DataFrame, min_score: float | None = MIN_SCORE, drop_
 
 def safety_rows(docs: DataFrame, text: str = "text", licence: str | None = None, allowed=None, threshold: float | None = None) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns(safety.screen(t, F.col(licence) if licence else None, allowed, threshold=threshold)).withColumn("safety_would_drop", F.col("safety_decision") == "drop")
+    found = safety.counts(t)
+    rows = docs.withColumns(found).withColumns(safety.screen(t, F.col(licence) if licence else None, allowed, threshold=threshold, have_counts=True)).drop(*found)
+    return rows.withColumn("safety_would_drop", F.col("safety_decision") == "drop")
 
 
 def gate(rows: DataFrame, would_drop: str, mode: str) -> DataFrame:
