@@ -69,7 +69,7 @@ def parse_ok(text: Column, lang: Column, parsed: Column | None = None, h: Heuris
     parsed: the result for python, yaml, json and jsonl, from signals.parse_checks; without it these are 0 (json is parsed natively).
     """
     low = F.lower(F.trim(lang))
-    prose = F.when(text.rlike(MD_HEADING) | text.rlike(RST_HEADING) | (F.length(text) > 400), 1.0).otherwise(0.7)
+    prose = F.when((F.length(text) > 400) | text.rlike(MD_HEADING) | text.rlike(RST_HEADING), 1.0).otherwise(0.7)
 
     def piped(words):
         return F.when(text.contains("|") & text.rlike(rf"(?i)\b(?:{words})\b"), 1.0).otherwise(0.0)

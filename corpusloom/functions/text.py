@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 #: White space as Unicode has it, for classes in regular expressions.
 SPACES = r"\t\n\x0B\f\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+LONE_BREAK = LINE_BREAK.removeprefix(r"\r\n|")
 #: Punctuation that marks code.
 CODE_MARKS = "%&()*+,-/:;<=>[]{|}"
 #: Symbols that make tokens short.
@@ -49,14 +50,19 @@ def n_lines(text: Column) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
 
 
-def lines(text: Column) -> Column:
-    """Lines without their ends; a text's last break opens no line."""
-    whole = F.split(text, LINE_BREAK, -1)
+def _split(text: Column) -> Column:
+    """The text at its line breaks; one class is several times faster than an alternative with \\r\\n."""
+    return F.when(text.contains("\r"), F.split(text, LINE_BREAK, -1)).otherwise(F.split(text, LONE_BREAK, -1))
+
+
+def lines(text: Column, whole: Column | None = None) -> Column:
+    """Lines without their ends; a text's last break opens no line.  whole: the split text, where the row has it."""
+    whole = _split(text) if whole is None else whole
     return F.when(F.element_at(whole, -1) == "", F.slice(whole, 1, F.size(whole) - 1)).otherwise(whole)
 
 
 def ascii_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\x00-\x7F]", "")).cast("long")
+    return F.length(F.regexp_replace(text, r"[^\x00-\x7F]+", "")).cast("long")
 
 
 def ascii_ratio(text: Column) -> Column:
@@ -69,14 +75,16 @@ def code_mark_count(text: Column) -> Column:
 
 def short_line_count(text: Column, most: int = 60, ls: Column | None = None) -> Column:
     bare = rf"^[{SPACES}]+|[{SPACES}]+$"
-    # only lines longer than ``most`` need to be stripped
-    return F.size(F.filter(lines(text) if ls is None else ls, lambda x: (F.length(x) <= most) | (F.length(F.regexp_replace(x, bare, "")) <= most))).cast("long")
+    # only lines longer than ``most`` with white space at an end need to be stripped
+    padded = lambda x: F.concat(F.substring(x, 1, 1), F.substring(x, -1, 1)).rlike(f"[{SPACES}]")
+    return F.size(F.filter(lines(text) if ls is None else ls, lambda x: (F.length(x) <= most) | padded(x) & (F.length(F.regexp_replace(x, bare, "")) <= most))).cast("long")
 
 
-def code_complexity(text: Column, short: int = 60, marks: float = 0.5, lines_weight: float = 0.5, ls: Column | None = None) -> Column:
+def code_complexity(text: Column, short: int = 60, marks: float = 0.5, lines_weight: float = 0.5, ls: Column | None = None, n_short: Column | None = None, n_marks: Column | None = None) -> Column:
+    """ls, n_short, n_marks: the lines, short lines and marks, where the row has them already."""
     ls = lines(text) if ls is None else ls
-    share = short_line_count(text, short, ls) / F.greatest(F.size(ls), F.lit(1))
-    return F.when(text == "", 0.0).otherwise(F.least(F.lit(1.0), marks * code_mark_count(text) / F.length(text) + lines_weight * share))
+    share = (short_line_count(text, short, ls) if n_short is None else n_short) / F.greatest(F.size(ls), F.lit(1))
+    return F.when(text == "", 0.0).otherwise(F.least(F.lit(1.0), marks * (code_mark_count(text) if n_marks is None else n_marks) / F.length(text) + lines_weight * share))
 
 
 def words(text: Column) -> Column:
@@ -92,12 +100,12 @@ def stop_word_count(text: Column) -> Column:
 
 
 def letter_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(F.lower(text), "[^a-z]", "")).cast("long")
+    return F.length(F.regexp_replace(F.lower(text), "[^a-z]+", "")).cast("long")
 
 
 def symbol_count(text: Column) -> Column:
-    """Characters that are no letter, number or white space."""
-    return F.length(F.regexp_replace(text, rf"[\p{{L}}\p{{N}}{SPACES}]", "")).cast("long")
+    """Characters that are no letter, number or white space.  Runs go at once, common characters are tried first."""
+    return F.length(F.regexp_replace(text, rf"[a-zA-Z0-9\p{{L}}\p{{N}}{SPACES}]+", "")).cast("long")
 
 
 def filled(ls: Column) -> Column:
@@ -118,7 +126,7 @@ def ellipsis_ratio(text: Column, full: Column | None = None) -> Column:
 
 
 #: Columns that several signals read, computed once by ``bound``.
-BOUND = ("__lines", "__filled", "__words", "__letters")
+BOUND = ("__split", "__lines", "__filled", "__words", "__letters")
 
 
 def bound(df: DataFrame, text: str = "text") -> DataFrame:
@@ -127,7 +135,7 @@ def bound(df: DataFrame, text: str = "text") -> DataFrame:
     Each is a step of its own, since an expression that is named several times in one step is computed several times.
     """
     t = F.col(text)
-    out = df.withColumn("__lines", lines(t)).withColumn("__filled", filled(F.col("__lines")))
+    out = df.withColumn("__split", _split(t)).withColumn("__lines", lines(t, F.col("__split"))).withColumn("__filled", filled(F.col("__lines")))
     return out.withColumn("__words", words(t)).withColumn("__letters", F.aggregate("__words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)))
 
 
