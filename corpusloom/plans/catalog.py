@@ -125,7 +125,9 @@ def repetition_rate(spark, table):
 
 @query(f"SELECT doc_id, {_n_of(tx.CODE_MARKS)} AS n_marks, {_SHORT} AS n_short_lines, {_COMPLEX} AS complexity FROM documents")
 def code_complexity(spark, table):
-    return table("documents").select("doc_id", tx.code_mark_count(_t()).alias("n_marks"), tx.short_line_count(_t()).alias("n_short_lines"), tx.code_complexity(_t()).alias("complexity"))
+    ls = F.col("__lines")
+    rows = tx.bound(table("documents").select("doc_id", "text")).withColumns({"n_marks": tx.code_mark_count(_t()), "n_short_lines": tx.short_line_count(_t(), ls=ls)})
+    return rows.select("doc_id", "n_marks", "n_short_lines", tx.code_complexity(_t(), ls=ls, n_short=F.col("n_short_lines"), n_marks=F.col("n_marks")).alias("complexity"))
 
 
 @query(f"SELECT doc_id, {_N_WORDS} AS n_words, {_N_STOP} AS n_stop, {_N_LETTERS} AS n_letters FROM documents")
@@ -135,7 +137,8 @@ def word_stats(spark, table):
 
 @query(f"SELECT doc_id, {_N_SYMBOLS} AS n_symbols, {_BULLETS} AS bullet_ratio, {_ELLIPSES} AS ellipsis_ratio FROM documents")
 def line_shape(spark, table):
-    return table("documents").select("doc_id", tx.symbol_count(_t()).alias("n_symbols"), tx.bullet_ratio(_t()).alias("bullet_ratio"), tx.ellipsis_ratio(_t()).alias("ellipsis_ratio"))
+    full = F.col("__filled")
+    return tx.bound(table("documents").select("doc_id", "text")).select("doc_id", tx.symbol_count(_t()).alias("n_symbols"), tx.bullet_ratio(_t(), full).alias("bullet_ratio"), tx.ellipsis_ratio(_t(), full).alias("ellipsis_ratio"))
 
 
 @query("SELECT doc_id, " + ", ".join(f"{v} AS {k}" for k, v in _FLAGS.items()) + f", {_GOPHER} AS gopher_score FROM documents")

@@ -302,3 +302,60 @@ def test_batch_signals_equal_brute_force():
             assert h[row == i].tolist() == sorted({zlib.adler32(r[k : k + 5]) for k in places if any(c > 32 for c in r[k : k + 5])})
     again, _ = signals.repeat_counts(texts, 3)
     assert again.tolist() == [len(t) - 2 - len({t[i : i + 3] for i in range(len(t) - 2)}) if len(t) >= 6 else 0 for t in texts]
+
+
+def test_fast_patterns_find_the_same(spark):
+    """Counts by the plain patterns of safety, also where matches touch; nulls stay null.  Each count is named once in the plan."""
+    import random
+    import re
+
+    rng = random.Random(2)
+    parts = ["a.b@x.org", "c@d.com.e@f.net", "+1 (555) 010-9999", "1.2.3.4", "01.2.3.4", "2001:db8:0:0:0:0:0:1", "kill", "Skills", "@", ".", "x", "é", " ", "9", "-", ":", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    t = F.col("text")
+    got = df.select("text", safety.email_count(t).alias("e"), safety.phone_count(t).alias("p"), safety.ipv4_count(t).alias("i"), safety.ipv6_count(t).alias("j"), safety.toxic_hits(t).alias("h")).collect()
+    plain = {"e": F.regexp_count(t, F.lit(safety.EMAIL)), "p": F.regexp_count(t, F.lit(safety.PHONE)), "h": F.regexp_count(F.lower(t), F.lit(rf"\b(?:{'|'.join(safety.TOXIC_TERMS)})\b"))}
+    for r, w in zip(got, df.select(*[c.alias(k) for k, c in plain.items()]).collect(), strict=True):
+        assert (r.e, r.p, r.h) == (w.e, w.p, w.h), r.text
+        if r.text is not None:
+            octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+            assert r.j == sum(bool(re.fullmatch("(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}", x)) for x in re.findall(safety.IPV6, r.text)), r.text
+            assert r.i == sum(bool(re.fullmatch(rf"{octet}(?:\.{octet}){{3}}", x[0])) for x in re.finditer(safety.IPV4, r.text)), r.text
+    from corpusloom.operators import screen
+
+    plan = screen.safety_rows(df).select("num_emails", "safety_decision", "safety_reason")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?:[A-Za-z]){2,}") == 1
+
+
+def test_lines_are_split_once(spark, tmp_path):
+    from corpusloom.plans import catalog
+
+    spark.createDataFrame([(1, "a\r\nb\x0bc\n " + "x" * 60 + " \n" + "y" * 61 + "\r"), (2, ""), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = lambda n: catalog.QUERIES[n](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("code_complexity", "line_shape"):
+        assert plan(name).count("split(") == 2, name  # with and without \r
+    got = {r.doc_id: r.n_short_lines for r in catalog.QUERIES["code_complexity"](spark, str(tmp_path)).collect()}
+    assert got == {1: 4, 2: 0, 3: None}
+
+
+def test_workers_hold_a_run_of_texts(monkeypatch):
+    """Word hashes of a growing corpus are forgotten."""
+    monkeypatch.setattr(signals, "_TOKENS", {})
+    for k in range(3):
+        signals.simhash(" ".join(f"word{k}x{i}" for i in range(40_000)))
+    assert len(signals._TOKENS) <= signals.KNOWN_TOKENS <= 1 << 17
+
+
+def test_chunks_leave_python_by_runs(spark):
+    """One row of a batch is followed by its chunks before the next text is read; columns of any kind are carried."""
+    df = spark.createDataFrame([(i, {"a": i}, f"# T{i}\n" + "Some words are here. " * 900) for i in range(200)] + [(900, None, ""), (901, None, None)], "doc_id long, m map<string,int>, text string").coalesce(1)
+    out = ck.chunk(df, policy=ck.Policy(200, 0, 50, True))
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(out.collect(), key=lambda r: (r.doc_id, r.chunk_id))
+    for i in range(200):
+        own = [r for r in rows if r.doc_id == i]
+        assert "".join(r.text for r in own) == f"# T{i}\n" + "Some words are here. " * 900
+        assert [(r.chunk_id, r.n_chunks, r.m["a"]) for r in own] == [(k, len(own), i) for k in range(1, len(own) + 1)]
+        assert all(r.end - r.start == len(r.text) for r in own)
+    assert {r.doc_id for r in rows} == set(range(200))
