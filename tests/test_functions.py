@@ -339,6 +339,31 @@ def test_lines_are_split_once(spark, tmp_path):
     assert got == {1: 4, 2: 0, 3: None}
 
 
+def test_common_lines_need_no_pattern(spark, tmp_path):
+    """Line feeds alone are split without a pattern; first characters spare most lines theirs, the table of Latin-1 most characters theirs.  Odd texts give what the plain rules give."""
+    import re
+
+    from corpusloom.plans import catalog
+
+    rng = random.Random(4)
+    parts = ["- ", "1. ", "12) x", "\u2022 y", "*", "...", "\u2026 ", "a:", "~", "!", "\u00e9", "\u4e2d", "\U0001d49c", "\U0001f600", "\u0663", "\u2167", "\xad", "\u200b", "\x00", "\x1f", " ", "\xa0", "\u3000", "\t", "\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1e", "\x85", "\u2028", "\u2029"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 16))) for _ in range(1500)] + ["".join(map(chr, range(1, 0xD800))), "", "\r\r\n\n", "-\n", "a\u2029"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalog.QUERIES["line_shape"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"split\(text#\d+, \n, -1\)", plan) and plan.count("ascii(") >= 2
+    got = {r.doc_id: r for r in df.collect()}
+    t = F.col("text")
+    n = F.length(F.regexp_replace(t, rf"[\p{{L}}\p{{N}}{tx.SPACES}]", ""))
+    for r in docs.select("doc_id", n.alias("n"), F.split(t, tx.LINE_BREAK, -1).alias("plain"), tx.lines(t).alias("lines")).collect():
+        ls = r.plain[:-1] if r.plain[-1] == "" else r.plain
+        assert r.lines == ls, texts[r.doc_id]
+        full = [x for x in ls if re.search(f"[^{tx.SPACES}]", x)]
+        share = lambda pattern: sum(bool(re.search(pattern, x, re.ASCII)) for x in full) / len(full) if full else 0  # noqa: B023, E731
+        assert tuple(got[r.doc_id])[1:] == (r.n, share(tx.BULLET), share(rf"(?:\.\.\.|\u2026)[{tx.SPACES}]*\Z")), texts[r.doc_id]
+
+
 def test_workers_hold_a_run_of_texts(monkeypatch):
     """Word hashes of a growing corpus are forgotten."""
     monkeypatch.setattr(signals, "_TOKENS", {})
